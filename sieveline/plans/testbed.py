@@ -132,3 +132,8 @@ def scored_long(df: DataFrame, keep=()) -> DataFrame:
             )
         ),
     )
+
+
+def fixed_small(df: DataFrame) -> DataFrame:
+    """Materialise a summary of a few rows (tuned thresholds) so that later steps reuse it."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
