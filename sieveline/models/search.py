@@ -20,7 +20,7 @@ from sieveline.models import families
 from sieveline.models.stages import Standardizer, fit_preprocessing
 from sieveline.operators.curves import ranking_metrics
 from sieveline.operators.evaluate import confusion
-from sieveline.session import local_frame, scratch_path
+from sieveline.session import local_frame, scratch_path, written
 
 
 @dataclass
@@ -82,6 +82,7 @@ def run_search(
     candidates = families.draw_candidates(specs, n_iter=n_iter, seed=seed)
     keep = [families.ROW_ID, families.LABEL, fold]
     path = scratch_path(spark, "search-scores")
+    df = written(df.select(*keep, *spec.features), "search-input")  # read once per fold and fit
 
     for f in range(n_splits):
         train, held = df.where(F.col(fold) != f), df.where(F.col(fold) == f)
@@ -144,8 +145,12 @@ def fit_model(
     spec = spec or C.FeatureSpec()
     keep = [c for c in (families.ROW_ID, families.LABEL) if c in df.columns]
     prepare = _prepared(df, spec, keep=keep, scaled=family.scaled, mode=mode)
-    rows, total = families.with_class_weights(prepare.transform(df))
-    classifier = family.build(params, total).fit(rows)
+    ready = prepare.transform(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows, total = families.with_class_weights(ready)
+        classifier = family.build(params, total).fit(rows)
+    finally:
+        ready.unpersist()
     return PipelineModel(stages=[*prepare.stages, classifier])
 
 

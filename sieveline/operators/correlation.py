@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.exprs import null_double, number_of, numeric_columns, rows_of
 from sieveline.operators.ordering import HOT_SHARE, average_ranks
+from sieveline.session import spread, written
 
 
 def _lower_pairs(columns: Sequence[str]) -> list[tuple[int, int]]:
@@ -57,6 +58,7 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, key: str) -
     d = len(columns)
     v = [F.col(f"v{i}") for i in range(d)]
     values = df.select(F.col(key).alias("k"), *[number_of(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    values = spread(values)
     seen = values.agg(
         *[
             F.count_if(v[i].isNotNull() & v[j].isNotNull()).alias(f"n{i}_{j}")
@@ -77,7 +79,7 @@ def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, key: str) -
         value = v[int(i)] if not j else F.when(v[int(j)].isNotNull(), v[int(i)])
         structs.append(F.struct(F.lit(c).alias("ctx"), value.alias("value")))
     long = values.select("k", rows_of(structs)).where(F.col("value").isNotNull())
-    ranked = average_ranks(long.select("ctx", "value"), keys=["ctx"], value="value")
+    ranked = written(average_ranks(long.select("ctx", "value"), keys=["ctx"], value="value"), "ranks")
 
     # A frequent value would send all its rows to one task. At most HOT_SHARE values per
     # context can each hold 1/HOT_SHARE of the rows; those ranks are broadcast.

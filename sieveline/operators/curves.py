@@ -8,41 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.exprs import ratio
-from sieveline.operators.ordering import bucket_count, cut_points, running_totals
-from sieveline.session import small
+from sieveline.operators.ordering import running_totals
 
 
-def score_counts(
+def cumulative_counts(
     scored: DataFrame, *, keys: Sequence[str] = (), score: str = "score", label: str = "label",
     digits: int | None = None,
 ) -> DataFrame:
-    """Positives and negatives per distinct score; `digits` first rounds scores to cells."""
+    """Positives and negatives at every distinct score, at or above it, and in total.
+
+    `digits` first rounds scores to cells, which bounds the number of points.
+    """
     s = F.col(score).cast("double")
     s = F.round(s, digits) if digits is not None else s
-    return scored.groupBy(*keys, s.alias(score)).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
-    )
-
-
-def cumulative_counts(
-    scored: DataFrame, *, keys: Sequence[str] = (), score: str = "score", label: str = "label",
-    digits: int | None = None,
-) -> DataFrame:
-    """Counts at or above every distinct score with the totals of its key."""
-    keys = list(keys)
-    cuts = cut_points(scored.where(F.col(score).isNotNull()), score, bucket_count(scored.sparkSession))
-    counts = score_counts(scored, keys=keys, score=score, label=label, digits=digits)
-    run = running_totals(
-        counts, keys=keys, order=score, sums=["pos", "neg"], descending=True, cuts=cuts
-    )
-    totals = scored.groupBy(*keys).agg(
-        F.count_if(F.col(label) == 1).alias("all_pos"), F.count_if(F.col(label) == 0).alias("all_neg")
-    )
-    if not keys:
-        pos, neg = totals.first()
-        return run.select("*", F.lit(pos).alias("all_pos"), F.lit(neg).alias("all_neg"))
-    # one row per key, a few models and datasets
-    return run.join(small(totals), keys)
+    rows = scored.where(F.col(score).isNotNull()).select(*keys, s.alias(score), F.col(label).alias("__y"))
+    counts = {"pos": F.count_if(F.col("__y") == 1), "neg": F.count_if(F.col("__y") == 0)}
+    return running_totals(rows, keys=keys, order=score, sums=counts, descending=True)
 
 
 def ranking_metrics(

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sieveline.session import small
+
 BUCKET = "__bucket"
 
 
@@ -37,40 +39,55 @@ def with_bucket(df: DataFrame, column: str, cuts: Sequence[float], *, descending
     return out.withColumn(BUCKET, -number if descending else number)
 
 
+def bucket_offsets(totals: DataFrame, *, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Sums before each bucket (`o_<c>`) and over the whole key (`all_<c>`).
+
+    `totals` holds a row per (keys, bucket): a few keys times the bucket count.
+    """
+    keys = list(keys)
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    return totals.select(
+        *keys,
+        BUCKET,
+        *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o_{c}") for c in sums],
+        *[F.sum(c).over(whole).alias(f"all_{c}") for c in sums],
+    )
+
+
 def running_totals(
-    table: DataFrame,
+    rows: DataFrame,
     *,
     keys: Sequence[str],
     order: str,
-    sums: Sequence[str],
+    sums: dict[str, Column],
     descending: bool = False,
-    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums `cum_<c>` of each column along `order`, separately per key.
+    """One row per (keys, order) value with sums of its rows, running sums `cum_<c>` in the order
+    of `order` (inclusive) and sums over the key `all_<c>`.
 
-    `table` holds one row per (keys, order) value, so a value shared by many source rows is
-    already a single row here and cannot overload a bucket.
+    Values are aggregated before they are sorted, so a value that many rows share is a single
+    row by then and cannot overload a bucket. Bucket totals come from a scan of their own that
+    shuffles only (keys x buckets) rows.
     """
     keys = list(keys)
-    if cuts is None:
-        cuts = cut_points(table, order, bucket_count(table.sparkSession))
-    parts = with_bucket(table, order, cuts, descending=descending)
-    totals = parts.groupBy(*keys, BUCKET).agg(*[F.sum(c).alias(f"t_{c}") for c in sums])
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        BUCKET,
-        *[F.coalesce(F.sum(f"t_{c}").over(before), F.lit(0)).alias(f"o_{c}") for c in sums],
-    )
+    cuts = cut_points(rows, order, bucket_count(rows.sparkSession))
+    aggs = [expr.alias(c) for c, expr in sums.items()]
+    totals = with_bucket(rows, order, cuts, descending=descending).groupBy(*keys, BUCKET).agg(*aggs)
+    offsets = small(bucket_offsets(small(totals), keys=keys, sums=list(sums)))
+    values = with_bucket(rows.groupBy(*keys, order).agg(*aggs), order, cuts, descending=descending)
     here = (
         Window.partitionBy(*keys, BUCKET)
         .orderBy(F.desc(order) if descending else F.asc(order))
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    inside = parts.select("*", *[F.sum(c).over(here).alias(f"w_{c}") for c in sums])
-    joined = inside.join(offsets, [*keys, BUCKET])
-    return joined.select(
-        *table.columns, *[(F.col(f"o_{c}") + F.col(f"w_{c}")).alias(f"cum_{c}") for c in sums]
+    inside = values.select("*", *[F.sum(c).over(here).alias(f"w_{c}") for c in sums])
+    return inside.join(offsets, [*keys, BUCKET]).select(
+        *keys,
+        order,
+        *sums,
+        *[(F.col(f"o_{c}") + F.col(f"w_{c}")).alias(f"cum_{c}") for c in sums],
+        *[f"all_{c}" for c in sums],
     )
 
 
@@ -136,9 +153,7 @@ HOT_SHARE = 1000
 
 def average_ranks(values: DataFrame, *, keys: Sequence[str], value: str, out: str = "avg_rank") -> DataFrame:
     """One row per (keys, value) with its count and average rank."""
-    freq = values.groupBy(*keys, value).agg(F.count("*").alias("cnt"))
-    cuts = cut_points(values, value, bucket_count(values.sparkSession))
-    ranked = running_totals(freq, keys=keys, order=value, sums=["cnt"], cuts=cuts)
+    ranked = running_totals(values, keys=keys, order=value, sums={"cnt": F.count("*")})
     # ranks of the tied block run from cum - cnt + 1 to cum
     return ranked.select(
         *keys, value, "cnt", (F.col("cum_cnt") - (F.col("cnt") - 1) / 2.0).alias(out)

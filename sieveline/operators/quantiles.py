@@ -18,6 +18,7 @@ from sieveline.functions.exprs import number_of
 
 DIRECT_ROWS = 200_000
 _ACCURACY = 20_000
+_MARKS = 64
 
 
 def exact_quantiles(
@@ -109,51 +110,55 @@ def _select_ranks(
         counted = values.agg(
             *[F.count_if(F.col(f"v{i}") < F.lit(lo)).alias(f"b{j}") for j, (i, lo, _) in enumerate(brackets)],
             *[F.count_if(c).alias(f"c{j}") for j, c in enumerate(inside)],
-            *[
-                F.percentile_approx(
-                    F.when(c, F.col(f"v{brackets[j][0]}")), [x / 64 for x in range(65)], 2048
-                ).alias(f"s{j}")
-                for j, c in enumerate(inside)
-            ],
         ).first()
 
-        read = {}
+        read: dict[int, list] = {}
+        narrow: dict[int, list] = {}
         for key, bracket in list(todo.items()):
             i, rank = key
             j = brackets.index((i, *bracket))
-            lo, hi = bracket
             below, held = counted[f"b{j}"], counted[f"c{j}"]
             if not below <= rank < below + held:
                 todo[key] = limits[i]  # the guess missed: start from the full range
-            elif lo == hi:
-                found[key] = lo
+            elif bracket[0] == bracket[1]:
+                found[key] = bracket[0]
                 del todo[key]
-            elif held <= direct_rows:
-                read.setdefault(j, []).append(key)
             else:
-                marks = counted[f"s{j}"]
-                at = (rank - below) * 64 / held
-                a, b = max(0, math.floor(at) - 1), min(64, math.ceil(at) + 1)
-                new = (lo if a == 0 else float(marks[a]), hi if b == 64 else float(marks[b]))
-                if new == bracket:  # a heavy value fills the sketch: test it on its own
-                    heavy = float(marks[min(64, max(0, round(at)))])
+                (read if held <= direct_rows else narrow).setdefault(j, []).append(key)
+        if not read and not narrow:
+            continue
+
+        row = values.agg(
+            *[
+                F.percentile(
+                    F.when(inside[j], F.col(f"v{brackets[j][0]}")),
+                    [(r - counted[f"b{j}"]) / max(1, counted[f"c{j}"] - 1) for _, r in keys],
+                ).alias(f"r{j}")
+                for j, keys in read.items()
+            ],
+            *[
+                F.percentile_approx(
+                    F.when(inside[j], F.col(f"v{brackets[j][0]}")), [x / _MARKS for x in range(_MARKS + 1)], 32 * _MARKS
+                ).alias(f"s{j}")
+                for j in narrow
+            ],
+        ).first()
+        for j, keys in read.items():
+            for key, x in zip(keys, row[f"r{j}"]):
+                found[key] = float(x)
+                del todo[key]
+        for j, keys in narrow.items():
+            i, lo, hi = brackets[j]
+            marks, below, held = row[f"s{j}"], counted[f"b{j}"], counted[f"c{j}"]
+            for key in keys:
+                rank = key[1]
+                at = (rank - below) * _MARKS / held
+                a, b = max(0, math.floor(at) - 1), min(_MARKS, math.ceil(at) + 1)
+                new = (lo if a == 0 else float(marks[a]), hi if b == _MARKS else float(marks[b]))
+                if new == (lo, hi):  # a heavy value fills the sketch: test it on its own
+                    heavy = float(marks[min(_MARKS, max(0, round(at)))])
                     new = _around(values, i, heavy, rank, lo, hi)
                 todo[key] = new
-
-        if read:
-            row = values.agg(
-                *[
-                    F.percentile(
-                        F.when(inside[j], F.col(f"v{brackets[j][0]}")),
-                        [(r - counted[f"b{j}"]) / max(1, counted[f"c{j}"] - 1) for _, r in keys],
-                    ).alias(f"r{j}")
-                    for j, keys in read.items()
-                ],
-            ).first()
-            for j, keys in read.items():
-                for key, x in zip(keys, row[f"r{j}"]):
-                    found[key] = float(x)
-                    todo.pop(key, None)
     return found
 
 

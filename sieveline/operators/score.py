@@ -74,6 +74,16 @@ def _keeping(model, keep: Sequence[str]):
     return PipelineModel(stages=stages)
 
 
+def scoring_function(model, features: Sequence[str]):
+    """Frame -> frame with a `score` column, for a fitted pipeline over raw features."""
+
+    def score(frame: DataFrame) -> DataFrame:
+        others = [c for c in frame.columns if c not in features]
+        return positive_score(_keeping(model, others), frame).select(*others, "score")
+
+    return score
+
+
 def rank_candidates(scored: DataFrame, *, key: str, top: int | None = None) -> DataFrame:
     """Scored candidates, most likely first; `top` keeps the first ones (V6)."""
     ordered = scored.orderBy(F.desc("probability_positive"), key)

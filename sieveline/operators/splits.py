@@ -71,13 +71,13 @@ def group_folds(
         F.count_if(F.col(target) == 1).alias("n_pos"),
         F.count_if(F.col(target) == 0).alias("n_neg"),
     )
-    row = df.agg(F.count_if(F.col(target) == 1), F.count_if(F.col(target) == 0)).first()
-    totals = (row[0], row[1])
+    size = F.col("n_pos") + F.col("n_neg")
+    row = sizes.agg(F.sum("n_pos"), F.sum("n_neg"), F.max(size)).first()
+    totals = (row[0] or 0, row[1] or 0)
     limit = sum(totals) / (20.0 * n_splits)
-    # below 20 rows per class and fold every group would count as heavy: deal them all
+    # with few rows per fold every group would count as heavy: deal them all
     limit = limit if sum(totals) >= 400 * n_splits else float("inf")
-    size = F.col("n_pos") + F.col("n_neg")
-    heavy_rows = [tuple(r) for r in sizes.where(size > limit).collect()] if limit < float("inf") else []
+    heavy_rows = [tuple(r) for r in sizes.where(size > limit).collect()] if (row[2] or 0) > limit else []
     heavy, load = _assign_heavy(heavy_rows, n_splits, totals)
     cycle = _cycle(load, totals, n_splits)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sieveline.config import SEED
 from sieveline.functions import metrics as M
 from sieveline.operators import curves, deploy, evaluate, explain, importance, neighbors, splits, thresholds
+from sieveline.models.stages import fit_preprocessing
 from sieveline.operators.harmonize import combine_sets
 from sieveline.plans import sql_views as V
 from sieveline.plans import testbed as T
@@ -469,7 +470,7 @@ def _importance_sql():
 
 
 def importance_a(spark, sf):
-    df = folded_a(spark, sf)
+    df = written(folded_a(spark, sf), "folds")
     sets = combine_sets(
         {"test": df.where("fold = 0"), "train": df.where("fold <> 0")}, combined="all"
     ).select("dataset", "row_id", *A_COLS, "label")
@@ -559,9 +560,7 @@ def linear_attribution(spark, sf):
     df = splits.with_folds(T.survey_a(spark, sf)[0]).withColumn(
         "split", F.when(F.col("fold") == 0, "test").otherwise("train")
     )
-    df = df.select("*", *[F.col(f).alias(f"raw_{f}") for f in A_COLS])
-    from sieveline.models.stages import fit_preprocessing
-
+    df = written(df.select("*", *[F.col(f).alias(f"raw_{f}") for f in A_COLS]), "folds")
     keep = ["row_id", "split", *[f"raw_{f}" for f in A_COLS]]
     ready = fit_preprocessing(df.where("split = 'train'"), T.SPEC_A, keep=keep, vector=None).transform(df)
     background = splits.background_sample(ready, features=A_COLS, key="row_id")

@@ -13,7 +13,7 @@ from sieveline.operators.score import predict, rank_candidates
 from sieveline.plans import testbed as T
 from sieveline.plans.prepare_queries import _VALID_SQL, VALIDATE_INTERVALS, _VALIDATE, inputs_to_validate
 from sieveline.plans.registry import query, with_ctes
-from sieveline.session import scratch_path
+from sieveline.session import scratch_path, written
 from sieveline.streaming import flows
 
 # enough to exercise each family on the test tables; a full search draws them from its space
@@ -27,7 +27,8 @@ PARAMS = {
 
 
 def folded(spark, sf):
-    return splits.with_folds(T.survey_a(spark, sf)[0])
+    """Labeled survey A with its folds, as a table that fits and scoring read several times."""
+    return written(splits.with_folds(T.survey_a(spark, sf)[0]), "folds")
 
 
 def _scores(name):
@@ -113,7 +114,7 @@ _STREAM_WEIGHTS = {"amount": 0.01, "k": -0.02, "": 0.3}
 @query(
     "stream_score",
     """SELECT event_id, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM (
-         SELECT event_id, round(1.0 / (1.0 + exp(-(0.3 + 0.01 * value + (-0.02) * CAST(json_extract_string(props, '$.k') AS DOUBLE)))), 6) AS score
+         SELECT event_id, floor(1e6 / (1.0 + exp(-(0.3 + 0.01 * value + (-0.02) * CAST(json_extract_string(props, '$.k') AS DOUBLE)))) + 0.5) / 1e6 AS score
          FROM events)""",
 )
 def stream_score(spark, sf):

@@ -12,6 +12,7 @@ from sieveline.operators.evaluate import confusion, with_metrics
 from sieveline.plans import sql_views as V
 from sieveline.plans import testbed as T
 from sieveline.plans.registry import query, with_ctes
+from sieveline.session import written
 
 DIGITS = 6
 
@@ -383,6 +384,7 @@ def prepared_a(spark, sf):
     """Survey A through all seven steps, fitted on the training part only."""
     labeled = splits.with_folds(T.survey_a(spark, sf)[0])
     labeled = labeled.withColumn("split", F.when(F.col("fold") == 0, "test").otherwise("train"))
+    labeled = written(labeled, "folds")  # each fitted step reads the training part
     model = stages.fit_preprocessing(
         labeled.where("split = 'train'"), T.SPEC_A, keep=["row_id", "group_id", "label", "split", "fold"], vector=None
     )

@@ -6,7 +6,7 @@ from sieveline.plans.testbed import FEATURES_A, INTERVALS_A, INTERVALS_C, SCORES
 
 A_RAW = """
 a_raw AS (
-  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber) AS row_id,
+  SELECT concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT)) AS row_id,
          CAST(l_orderkey AS VARCHAR) AS group_id,
          CASE l_returnflag WHEN 'R' THEN 'CONFIRMED' WHEN 'A' THEN 'FALSE POSITIVE'
                            WHEN 'N' THEN 'CANDIDATE' END AS raw_label,
@@ -101,7 +101,7 @@ p4 AS (SELECT row_id, group_id, label, split, fold, """
 
 def score_sql(weights: dict) -> str:
     z = " + ".join([str(float(weights.get("", 0.0)))] + [f"({w}) * {c}" for c, w in weights.items() if c])
-    return f"round(1.0 / (1.0 + exp(-({z}))), 6)"
+    return f"floor(1e6 / (1.0 + exp(-({z}))) + 0.5) / 1e6"
 
 
 # (row_id, fold, dataset, model, score, label) for both stand-in models

@@ -64,7 +64,8 @@ def survey_a_raw(spark, sf_dir) -> DataFrame:
     named = None
     for k, v in LABELS_OF_FLAG.items():
         named = F.when(flag == k, v) if named is None else named.when(flag == k, v)
-    row_id = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")])
+    parts = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
+    row_id = F.concat_ws("-", *[F.col(c).cast("long").cast("string") for c in parts])
     return df.select(
         row_id.alias("row_id"), "l_orderkey", named.alias("disposition"),
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",
@@ -116,7 +117,7 @@ def linear(weights: dict):
 
 def stand_in_score(weights: dict):
     """Logistic of a fixed linear form, in cells of 1e-6."""
-    return F.round(1.0 / (1.0 + F.exp(-linear(weights))), 6)
+    return F.floor(1e6 / (1.0 + F.exp(-linear(weights))) + 0.5) / 1e6
 
 
 def scored_long(df: DataFrame, keep=()) -> DataFrame:

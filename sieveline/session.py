@@ -50,6 +50,13 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share rows out before a step that multiplies them, if the source has fewer splits than
+    the session has cores (one small file); any larger source is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 BROADCAST_ROWS = 100_000
 
 
