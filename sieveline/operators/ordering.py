@@ -7,6 +7,7 @@ hash (uniform by construction) or from quantile cuts of the sort column.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sieveline.operators.sketches import sketch_quantiles
 from sieveline.session import small
 
 BUCKET = "__bucket"
@@ -21,14 +23,19 @@ BUCKET = "__bucket"
 
 def bucket_count(spark: SparkSession) -> int:
     """Buckets to aim at: follows the shuffle width of the session."""
-    return max(32, min(8192, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    return max(32, min(32_768, 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+
+
+def hash_digits(spark: SparkSession) -> int:
+    """Hex digits that give at least that many buckets."""
+    return max(2, math.ceil(math.log(bucket_count(spark), 16)))
 
 
 def cut_points(df: DataFrame, column: str, n: int) -> list[float]:
-    """At most n increasing split values of about equal row mass (one sketch aggregate)."""
+    """Fewer than n increasing split values of about equal row mass (one sketch aggregate)."""
     probs = [i / n for i in range(1, n)]
-    marks = df.agg(F.percentile_approx(F.col(column), probs, max(10_000, 20 * n))).first()[0]
-    return sorted({float(m) for m in marks or [] if m is not None})
+    marks = sketch_quantiles(df, {column: F.col(column)}, probs, k=min(65_535, max(2000, 4 * n)))[column][3]
+    return sorted({float(m) for m in marks or []})
 
 
 def with_bucket(df: DataFrame, column: str, cuts: Sequence[float], *, descending: bool = False) -> DataFrame:
@@ -118,9 +125,10 @@ def dense_index(
 
 def hash_index(
     df: DataFrame, *, hash_col: str, ties: Sequence[str] = (), keys: Sequence[str] = (), out: str = "idx",
-    digits: int = 2,
+    digits: int | None = None,
 ) -> DataFrame:
     """Positions in the order of a hex digest; 16**digits buckets of equal expected size."""
+    digits = digits or hash_digits(df.sparkSession)
     return dense_index(
         df,
         bucket=F.substring(F.col(hash_col), 1, digits),

@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.exprs import number_of
+from sieveline.operators.sketches import RANK_ERROR, sketch_quantiles
 
 DIRECT_ROWS = 200_000
-_ACCURACY = 20_000
 _MARKS = 64
 
 
@@ -31,68 +31,51 @@ def exact_quantiles(
 ) -> dict[str, list[float] | None]:
     """column -> quantiles at `probs` (linear interpolation); None for an all-missing column.
 
-    `mode="approx"` returns sketch quantiles (data elements, relative rank error 1/20000).
+    `mode="approx"` returns sketch quantiles (data elements, rank error about 0.001).
     """
     columns, probs = list(columns), [float(p) for p in probs]
     if not columns:
         return {}
     values = df.select(*[number_of(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    margin = 2.0 / _ACCURACY
+    margin = 2 * RANK_ERROR
     asked = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, 0.0, margin)})
-    first = values.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(columns))],
-        *[F.min(f"v{i}").alias(f"lo{i}") for i in range(len(columns))],
-        *[F.max(f"v{i}").alias(f"hi{i}") for i in range(len(columns))],
-        *[
-            F.percentile_approx(f"v{i}", asked, _ACCURACY).alias(f"q{i}")
-            for i in range(len(columns))
-        ],
-    ).first()
+    sketched = sketch_quantiles(values, {f"v{i}": F.col(f"v{i}") for i in range(len(columns))}, asked)
 
-    out: dict[str, list[float] | None] = {}
-    live = []
+    out: dict[str, list[float] | None] = {c: None for c in columns}
+    direct, wanted, ranks, limits = [], {}, {}, {}
     for i, c in enumerate(columns):
-        if first[f"n{i}"] == 0:
-            out[c] = None
+        n, low, high, marks = sketched[f"v{i}"]
+        if n == 0:
+            continue
+        sketch = dict(zip(asked, marks))
+        if mode == "approx":
+            out[c] = [float(sketch[min(1.0, max(0.0, p))]) for p in probs]
+        elif n <= direct_rows:
+            direct.append(i)
         else:
-            live.append(i)
-    if mode == "approx":
-        for i in live:
-            sketch = dict(zip(asked, first[f"q{i}"]))
-            out[columns[i]] = [float(sketch[min(1.0, max(0.0, p))]) for p in probs]
-        return out
-
-    direct = [i for i in live if first[f"n{i}"] <= direct_rows]
+            limits[i] = (float(low), float(high))
+            for p in probs:
+                h = (n - 1) * p
+                k = math.floor(h)
+                ranks[i, p] = ((k, min(k + 1, n - 1)), h - k)
+                lo = sketch[p - margin] if p - margin > 0 else low
+                hi = sketch[p + margin] if p + margin < 1 else high
+                for rank in ranks[i, p][0]:
+                    wanted[i, rank] = (float(lo), float(hi))
     if direct:
         row = values.agg(*[F.percentile(f"v{i}", probs).alias(f"v{i}") for i in direct]).first()
         for i in direct:
             out[columns[i]] = [float(x) for x in row[f"v{i}"]]
-
-    wide = [i for i in live if first[f"n{i}"] > direct_rows]
-    if wide:
-        wanted = {}  # (column, rank) -> bracket
-        ranks = {}
-        for i in wide:
-            n, sketch = first[f"n{i}"], dict(zip(asked, first[f"q{i}"]))
-            for p in probs:
-                h = (n - 1) * p
-                k = math.floor(h)
-                pair = (k, min(k + 1, n - 1))
-                ranks[i, p] = (pair, h - k)
-                lo = sketch[max(0.0, p - margin)] if p - margin > 0 else first[f"lo{i}"]
-                hi = sketch[min(1.0, p + margin)] if p + margin < 1 else first[f"hi{i}"]
-                for r in pair:
-                    wanted[i, r] = (float(lo), float(hi))
-        limits = {i: (float(first[f"lo{i}"]), float(first[f"hi{i}"])) for i in wide}
+    if wanted:
         found = _select_ranks(values, wanted, limits, direct_rows)
-        for i in wide:
+        for i in limits:
             picked = []
             for p in probs:
                 (a, b), frac = ranks[i, p]
                 x, y = found[i, a], found[i, b]
                 picked.append(x if x == y else x + (y - x) * frac)
             out[columns[i]] = picked
-    return {c: out[c] for c in columns}
+    return out
 
 
 def _select_ranks(
@@ -128,28 +111,32 @@ def _select_ranks(
         if not read and not narrow:
             continue
 
-        row = values.agg(
-            *[
-                F.percentile(
-                    F.when(inside[j], F.col(f"v{brackets[j][0]}")),
-                    [(r - counted[f"b{j}"]) / max(1, counted[f"c{j}"] - 1) for _, r in keys],
-                ).alias(f"r{j}")
-                for j, keys in read.items()
-            ],
-            *[
-                F.percentile_approx(
-                    F.when(inside[j], F.col(f"v{brackets[j][0]}")), [x / _MARKS for x in range(_MARKS + 1)], 32 * _MARKS
-                ).alias(f"s{j}")
-                for j in narrow
-            ],
-        ).first()
-        for j, keys in read.items():
-            for key, x in zip(keys, row[f"r{j}"]):
-                found[key] = float(x)
-                del todo[key]
+        if read:
+            row = values.agg(
+                *[
+                    F.percentile(
+                        F.when(inside[j], F.col(f"v{brackets[j][0]}")),
+                        [(r - counted[f"b{j}"]) / max(1, counted[f"c{j}"] - 1) for _, r in keys],
+                    ).alias(f"r{j}")
+                    for j, keys in read.items()
+                ]
+            ).first()
+            for j, keys in read.items():
+                for key, x in zip(keys, row[f"r{j}"]):
+                    found[key] = float(x)
+                    del todo[key]
+        held_in = (
+            sketch_quantiles(
+                values,
+                {str(j): F.when(inside[j], F.col(f"v{brackets[j][0]}")) for j in narrow},
+                [x / _MARKS for x in range(_MARKS + 1)],
+            )
+            if narrow
+            else {}
+        )
         for j, keys in narrow.items():
             i, lo, hi = brackets[j]
-            marks, below, held = row[f"s{j}"], counted[f"b{j}"], counted[f"c{j}"]
+            marks, below, held = held_in[str(j)][3], counted[f"b{j}"], counted[f"c{j}"]
             for key in keys:
                 rank = key[1]
                 at = (rank - below) * _MARKS / held

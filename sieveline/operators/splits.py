@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from sieveline import config as C
 from sieveline.functions.exprs import seeded_hash
+from sieveline.operators.ordering import hash_digits
 from sieveline.session import local_frame, small
 
 _CYCLE = 200
@@ -82,7 +83,7 @@ def group_folds(
     cycle = _cycle(load, totals, n_splits)
 
     light = sizes.where(size <= limit).withColumn("h", seeded_hash(seed, F.col("g")))
-    light = light.withColumn("b", F.substring("h", 1, 2))
+    light = light.withColumn("b", F.substring("h", 1, hash_digits(df.sparkSession)))
     # offsets in three levels; the widest un-keyed window sees one row per distinct n_pos
     cells = light.groupBy("n_pos", "n_neg", "b").agg(F.count("*").alias("c"))
     by_pos = cells.groupBy("n_pos").agg(F.sum("c").alias("c"))
