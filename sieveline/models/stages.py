@@ -52,6 +52,7 @@ class ColumnDropper(_Stage, Transformer):
     @keyword_only
     def __init__(self, *, columns=None, strict=False):
         super().__init__()
+        self._setDefault(strict=False)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def absent(self, df: DataFrame) -> list[str]:
