@@ -89,7 +89,8 @@ def running_totals(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     inside = values.select("*", *[F.sum(c).over(here).alias(f"w_{c}") for c in sums])
-    return inside.join(offsets, [*keys, BUCKET]).select(
+    # every bucket has its offsets; a left join spares the source a not-null test of the bucket
+    return inside.join(offsets, [*keys, BUCKET], "left").select(
         *keys,
         order,
         *sums,

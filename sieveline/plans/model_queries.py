@@ -42,7 +42,7 @@ def _scores(name):
     return run
 
 
-for _query, _family in (("logreg_scores", "logreg"), ("rf_scores", "rf"), ("gbt_scores", "hgb"), ("rff_svm_scores", "svc_rbf")):
+for _query, _family in (("logreg_scores", "logreg"), ("rf_scores", "rf"), ("gbt_scores", "hgb"), ("rff_svm_scores", "svc_rbf"), ("knn_scores", "knn")):
     query(_query)(_scores(_family))
 
 

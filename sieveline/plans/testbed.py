@@ -115,6 +115,10 @@ def linear(weights: dict):
     return z
 
 
+def logistic(weights: dict):
+    return 1.0 / (1.0 + F.exp(-linear(weights)))
+
+
 def stand_in_score(weights: dict):
     """Logistic of a fixed linear form, in cells of 1e-6."""
     return F.floor(1e6 / (1.0 + F.exp(-linear(weights))) + 0.5) / 1e6
