@@ -31,11 +31,16 @@ def hash_digits(spark: SparkSession) -> int:
     return max(2, math.ceil(math.log(bucket_count(spark), 16)))
 
 
+def quantile_marks(df: DataFrame, column: str, n: int) -> list[float]:
+    """n - 1 values that part the rows about evenly; a frequent value appears more than once."""
+    probs = [i / n for i in range(1, n)]
+    found = sketch_quantiles(df, {column: F.col(column)}, probs, k=min(65_535, max(2000, 4 * n)))
+    return [float(m) for m in found[column][3] or []]
+
+
 def cut_points(df: DataFrame, column: str, n: int) -> list[float]:
     """Fewer than n increasing split values of about equal row mass (one sketch aggregate)."""
-    probs = [i / n for i in range(1, n)]
-    marks = sketch_quantiles(df, {column: F.col(column)}, probs, k=min(65_535, max(2000, 4 * n)))[column][3]
-    return sorted({float(m) for m in marks or []})
+    return sorted(set(quantile_marks(df, column, n)))
 
 
 def with_bucket(df: DataFrame, column: str, cuts: Sequence[float], *, descending: bool = False) -> DataFrame:
@@ -142,19 +147,27 @@ def hash_index(
 def value_index(
     df: DataFrame, *, order: str, ties: Sequence[str] = (), keys: Sequence[str] = (), out: str = "idx"
 ) -> DataFrame:
-    """Positions in the order of a numeric column (P13 row numbers).
+    """Positions in the order of a numeric column (P13 row numbers), ties by further columns.
 
-    Rows sharing one value of `order` share a bucket, so `order` is the unique key of the
-    table or close to it.
+    A value that fills a bucket by itself is told apart by the first tie column, which is
+    numeric then: its rows get buckets of their own along that column.
     """
-    name = "__order"
-    valued = df.withColumn(name, F.col(order).cast("double"))
-    cuts = cut_points(valued, name, bucket_count(df.sparkSession))
-    parts = with_bucket(valued, name, cuts).withColumnRenamed(BUCKET, "__b")
-    placed = dense_index(
-        parts, bucket=F.col("__b"), order=[F.col(order), *[F.col(t) for t in ties]], keys=keys, out=out
-    )
-    return placed.drop(name, "__b")
+    valued = df.withColumn("__v", F.col(order).cast("double"))
+    n = bucket_count(df.sparkSession)
+    marks = quantile_marks(valued, "__v", n)
+    parts = with_bucket(valued, "__v", sorted(set(marks))).withColumnRenamed(BUCKET, "__b")
+    hot = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
+    if hot and ties:
+        # a hot value is the lower end of its bucket, so its rows come first in it
+        is_hot = F.col("__v").isin(hot)
+        parts = parts.withColumn("__t", F.col(ties[0]).cast("double"))
+        cuts = cut_points(parts.where(is_hot), "__t", n)
+        parts = with_bucket(parts, "__t", cuts).withColumnRenamed(BUCKET, "__s").drop("__t")
+        bucket = F.struct("__b", (~is_hot).alias("h"), F.when(is_hot, F.col("__s")).otherwise(F.lit(0)).alias("s"))
+    else:
+        parts, bucket = parts.withColumn("__s", F.lit(0)), F.struct("__b")
+    placed = dense_index(parts, bucket=bucket, order=[F.col(order), *[F.col(t) for t in ties]], keys=keys, out=out)
+    return placed.drop("__v", "__b", "__s")
 
 
 HOT_SHARE = 1000

@@ -14,6 +14,8 @@ from sieveline.operators.ordering import hash_digits
 from sieveline.session import local_frame, small
 
 _CYCLE = 200
+LOOKUP_SHARE = 10_000
+LOOKUP_ROWS = 50_000
 
 
 def _assign_heavy(rows, n_splits: int, totals: tuple[int, int]) -> tuple[dict, list[list[float]]]:
@@ -61,10 +63,17 @@ def group_folds(
 ) -> tuple[DataFrame, dict]:
     """(fold of every light group, folds of the heavy groups) (K1).
 
+    See `with_folds` for the fold of every row.
+
     Light groups are dealt in the order (positives desc, negatives desc, seeded md5, group).
     A group above 1/(20 n_splits) of all rows is heavy; at most 20 n_splits such groups can
     exist, so they are placed on the driver and the light ones fill up what is left.
     """
+    return _folds(df, target=target, group=group, n_splits=n_splits, seed=seed)[:2]
+
+
+def _folds(df: DataFrame, *, target: str, group: str, n_splits: int, seed: int) -> tuple[DataFrame, dict, float | None]:
+    """As `group_folds`, with the size above which a light group is looked up by broadcast."""
     for c in (target, group):
         if c not in df.columns:
             raise KeyError(f"`{target}` and `{group}` must exist in the dataframe.")
@@ -100,7 +109,9 @@ def group_folds(
     dealt = light.withColumn("r", F.row_number().over(place)).join(offsets, ["n_pos", "n_neg", "b"])
     position = (F.col("o1") + F.col("o2") + F.col("r") - 1).cast("long")
     pick = F.element_at(F.array(*[F.lit(f) for f in cycle]), (position % len(cycle)).cast("int") + 1)
-    return dealt.select(F.col("g").alias(group), "n_pos", "n_neg", pick.alias("fold")), heavy
+    folds = dealt.select(F.col("g").alias(group), "n_pos", "n_neg", pick.alias("fold"))
+    lookup = max(sum(totals) / LOOKUP_SHARE, LOOKUP_ROWS)
+    return folds, heavy, lookup if (row[2] or 0) > lookup else None
 
 
 def with_folds(
@@ -113,19 +124,22 @@ def with_folds(
 ) -> DataFrame:
     """Add the `fold` of each row's group (K1, K3).
 
-    Rows of heavy groups take their fold from a broadcast of at most 20 n_splits rows, so no
-    task of the shuffle join ever holds a heavy group.
+    Rows of large groups take their fold from a broadcast and skip the shuffle join: the heavy
+    groups, and any group with over 1/LOOKUP_SHARE of the rows (and LOOKUP_ROWS rows at least).
     """
-    light, heavy = group_folds(df, target=target, group=group, n_splits=n_splits, seed=seed)
-    light = light.select(group, "fold")
-    if not heavy:
-        return df.join(light, group).select(*df.columns, "fold")
-    table = small(
-        local_frame(df.sparkSession, list(heavy.items()), f"{group} {df.schema[group].dataType.simpleString()}, fold int")
-    )
-    of_heavy = df.join(table, group).select(*df.columns, "fold")
-    of_light = df.join(table, group, "left_anti").join(light, group).select(*df.columns, "fold")
-    return of_heavy.unionByName(of_light)
+    light, heavy, limit = _folds(df, target=target, group=group, n_splits=n_splits, seed=seed)
+    kind = df.schema[group].dataType.simpleString()
+    table = local_frame(df.sparkSession, list(heavy.items()), f"{group} {kind}, fold int")
+    size = F.col("n_pos") + F.col("n_neg")
+    if limit is not None:
+        table = table.unionByName(light.where(size > limit).select(group, "fold"))
+        light = light.where(size <= limit)
+    elif not heavy:
+        return df.join(light.select(group, "fold"), group).select(*df.columns, "fold")
+    table = F.broadcast(table)  # at most 20 n_splits + LOOKUP_SHARE rows
+    of_large = df.join(table, group).select(*df.columns, "fold")
+    of_light = df.join(table, group, "left_anti").join(light.select(group, "fold"), group)
+    return of_large.unionByName(of_light.select(*df.columns, "fold"))
 
 
 def train_test_split(df: DataFrame, *, fold_index: int = 0, n_splits: int = C.N_SPLITS, **kw):

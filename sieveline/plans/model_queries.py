@@ -137,7 +137,7 @@ def stream_score(spark, sf):
     """WITH w AS (SELECT epoch(date_trunc('hour', ts)) AS s, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
                          event_type FROM events),
      lim AS (SELECT epoch_ms(max(ts)) / 1000.0 - 3600 AS mark FROM events)
-     SELECT CAST(s AS BIGINT) AS window_start, feature, count(*) AS n_rows,
+     SELECT strftime(make_timestamp(CAST(s * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS window_start, feature, count(*) AS n_rows,
             count(*) FILTER (WHERE event_type = 'purchase') AS n_positive,
             CASE feature WHEN 'value' THEN count(*) FILTER (WHERE value < 1 OR value > 400) ELSE count(*) FILTER (WHERE k > 95) END AS out_of_range_n
      FROM w CROSS JOIN (SELECT unnest(['value', 'k']) AS feature), lim WHERE s + 3600 <= mark GROUP BY s, feature""",
@@ -151,7 +151,7 @@ def stream_monitor(spark, sf):
     counts = flows.monitor(
         stream, ts="ts", intervals={"value": (1.0, 400.0), "k": (None, 95.0)}, positive=F.col("event_type") == "purchase"
     )
-    counts = counts.withColumn("window_start", F.unix_timestamp("window_start"))
+    counts = counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
     (
         counts.writeStream.format("parquet").outputMode("append").option("path", f"{out}/windows")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()

@@ -164,6 +164,24 @@ def test_positions_are_dense_and_ordered(spark):
     assert [r["k"] for r in got] == sorted(r["k"] for r in got)
 
 
+def test_positions_with_a_value_on_a_third_of_the_rows(spark):
+    df = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 50).otherwise(F.col("id") % 101).alias("v"))
+    placed = ordering.value_index(df, order="v", ties=["id"])
+    assert placed.columns == ["id", "v", "idx"]
+    got = [(r["v"], r["id"]) for r in placed.orderBy("idx").collect()]
+    assert got == sorted(got) and [r["idx"] for r in placed.orderBy("idx").collect()] == list(range(6000))
+
+
+def test_large_groups_skip_the_shuffle_join(spark, monkeypatch):
+    monkeypatch.setattr(splits, "LOOKUP_ROWS", 5)
+    monkeypatch.setattr(splits, "LOOKUP_SHARE", 10**9)
+    df = fold_frame(spark, [1 + g % 9 for g in range(900)])
+    light = {r["group_id"]: r["fold"] for r in splits.group_folds(df)[0].collect()}
+    folded = splits.with_folds(df)
+    assert folded.count() == df.count()
+    assert all(light[r["group_id"]] == r["fold"] for r in folded.collect())
+
+
 def test_records(spark):
     df = spark.createDataFrame([(10 * i, f"g{i % 3}", i % 2, float(i) if i else None) for i in range(8)], "k long, group_id string, label int, x double")
     listed = records.list_records(df, order=["k"], max_rows=3).collect()
