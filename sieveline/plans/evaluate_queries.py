@@ -59,7 +59,7 @@ def _at_half(spark, sf):
     ),
 )
 def confusion(spark, sf):
-    counts = evaluate.confusion(_at_half(spark, sf), keys=KEYS)
+    counts = T.fixed_small(evaluate.confusion(_at_half(spark, sf), keys=KEYS))
     out = None
     for norm in ("all", "true", "pred"):
         part = evaluate.confusion_table(counts, keys=KEYS, normalize=norm).withColumn("norm", F.lit(norm))

@@ -11,8 +11,11 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sieveline.config import PROFILE_METRIC
 from sieveline.functions.metrics import display_profile
 from sieveline.operators import deploy
+from sieveline.operators.importance import permutation_importance
+from sieveline.operators.score import scoring_function
 
 
 def read_optional(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -114,6 +117,58 @@ def materialize_or_reuse(
     return stored, False
 
 
+def importance_run(
+    spark: SparkSession,
+    root: str,
+    sets: DataFrame,
+    deployments: Mapping[str, Mapping],
+    *,
+    key: str,
+    features,
+    run_tag: str = "v1",
+    n_repeats: int = 20,
+    seed: int = 42,
+    scorer=None,
+    scoring_name: str = "f2",
+    force: bool = False,
+) -> tuple[DataFrame, DataFrame, bool]:
+    """(importance table, its metadata row, reused) for one run tag.
+
+    Reused if run tag, scoring, repeats, seed, the set of datasets and what the deployments
+    are (`deployment_signature`) are the same as before. Deployments without a `score` are
+    scored by their `model`.
+    """
+    scoring = (
+        {"mode": "global", "scoring_name": scoring_name}
+        if scorer is not None
+        else {"mode": "profile_aware", "profile_to_metric": dict(PROFILE_METRIC)}
+    )
+    datasets = sorted(r[0] for r in sets.select("dataset").distinct().collect())  # a few names
+    config = {
+        "run_tag": run_tag, "scoring": scoring, "n_repeats": n_repeats, "random_state": seed,
+        "n_deployed_models": len(deployments), "datasets": datasets,
+        "deployment_signature": deployment_signature(deployments),
+    }
+
+    def build():
+        specs = {
+            d: {**s, "score": s.get("score") or scoring_function(s["model"], features)} for d, s in deployments.items()
+        }
+        return permutation_importance(
+            sets, specs, key=key, features=features, n_repeats=n_repeats, seed=seed, scorer=scorer, scoring_name=scoring_name
+        )
+
+    name = f"permutation_importance/{run_tag}"
+    table, reused = materialize_or_reuse(spark, root, name, config, build, force=force)
+    meta = spark.read.schema(META_SCHEMA).parquet(f"{root}/{name}/meta")
+    shape = (
+        "run_tag string, scoring string, n_repeats int, random_state int, n_deployed_models int,"
+        " datasets array<string>, deployment_signature string"
+    )
+    fields = F.from_json("config", shape)
+    return table, meta.select(fields.alias("c"), "created_at", "n_rows").select("c.*", "created_at", "n_rows"), reused
+
+
 def save_bundle(models: Mapping[str, PipelineModel], manifest: DataFrame, path: str) -> str:
     """Models by name and the manifest of the deployments that use them."""
     for name, model in models.items():

@@ -131,12 +131,17 @@ def test_search_to_deployment(spark, rows, tmp_path):
     assert artifacts.deployment_signature(deployed) == artifacts.deployment_signature(artifacts.load_bundle(spark, path)[0])
 
     spec = deployed["deploy_f2"]
-    imp = importance.permutation_importance(
-        sets.select("dataset", "row_id", "label", "a", "b"),
-        {"deploy_f2": {**spec, "score": score.scoring_function(spec["model"], SPEC.features)}},
-        key="row_id", features=SPEC.features, n_repeats=3,
-    ).collect()
-    assert len(imp) == 4 and {r["scoring"] for r in imp} == {"f2"}
+    run = lambda n: artifacts.importance_run(
+        spark, str(tmp_path / "art"), sets.select("dataset", "row_id", "label", "a", "b"), deployed,
+        key="row_id", features=SPEC.features, n_repeats=n,
+    )
+    table, meta, reused = run(3)
+    imp = table.collect()
+    assert len(imp) == 4 and {r["scoring"] for r in imp} == {"f2"} and not reused
+    row = meta.first()
+    assert (row["run_tag"], row["n_repeats"], row["n_rows"]) == ("v1", 3, 4)
+    assert list(row["datasets"]) == [C.SET_B, C.SET_A] and len(row["deployment_signature"]) == 64
+    assert run(3)[2] and not run(2)[2]
 
     parts = explain.explain(
         rows.where("row_id in ('r1', 'r2')"), rows, model=spec["model"], key="row_id", features=SPEC.features,
