@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", shuffle: int = 8, app: str = "sievelin
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SIEVELINE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
@@ -50,11 +51,17 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Share rows out before a step that multiplies them, if the source has fewer splits than
-    the session has cores (one small file); any larger source is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rewrite a source of a few megabytes, which Spark would read in one task, with one file per
+    core before steps that multiply its rows. Anything larger is left as it is; the size is the
+    planner's estimate, so nothing runs to find out."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
+        return df
+    return written(df.repartition(df.sparkSession.sparkContext.defaultParallelism), "spread")
 
 
 BROADCAST_ROWS = 100_000
