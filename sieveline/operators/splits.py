@@ -82,7 +82,9 @@ def _folds(df: DataFrame, *, target: str, group: str, n_splits: int, seed: int)
         F.count_if(F.col(target) == 0).alias("n_neg"),
     )
     size = F.col("n_pos") + F.col("n_neg")
-    row = sizes.agg(F.sum("n_pos"), F.sum("n_neg"), F.max(size)).first()
+    row = sizes.agg(F.sum("n_pos"), F.sum("n_neg"), F.max(size), F.count_if(F.col("g").isNull())).first()
+    if row[3]:
+        raise ValueError(f"rows without a `{group}` cannot be dealt into folds")
     totals = (row[0] or 0, row[1] or 0)
     limit = sum(totals) / (20.0 * n_splits)
     # with few rows per fold every group would count as heavy: deal them all

@@ -536,27 +536,23 @@ _W = FLAGSHIP_WEIGHTS
 _W_BASE = " + ".join([str(_W[""])] + [f"({_W[f]}) * b_{f}" for f in A_COLS])
 
 
-@query(
-    "linear_attribution",
-    with_ctes(
-        V.A_RAW,
-        V.A,
-        V.PREPARED,
-        f"bg AS (SELECT * FROM p4 ORDER BY md5('{SEED}:' || row_id), row_id LIMIT 200)",
-        "mb AS (SELECT " + ", ".join(f"avg({f}) AS b_{f}" for f in A_COLS) + " FROM bg)",
-        "lin AS ("
-        + " UNION ALL ".join(
-            f"SELECT p4.row_id, {i} AS i, '{f}' AS feature, a.{f} AS feature_value_raw, p4.{f} AS feature_value_model, "
-            f"({_W[f]}) * (p4.{f} - b_{f}) AS shap_value, {_W_BASE} AS base_value FROM p4 JOIN a USING (row_id), mb"
-            for i, f in enumerate(A_COLS)
-        )
-        + ")",
-        """SELECT row_id, feature, round(feature_value_raw, 6) AS feature_value_raw, round(feature_value_model, 6) AS feature_value_model,
-             round(shap_value, 6) AS shap_value, round(base_value, 6) AS base_value,
-             CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(shap_value) DESC, i) AS INTEGER) AS abs_rank FROM lin""",
-    ),
+_LINEAR_CTES = (
+    V.A_RAW,
+    V.A,
+    V.PREPARED,
+    f"bg AS (SELECT * FROM p4 ORDER BY md5('{SEED}:' || row_id), row_id LIMIT 200)",
+    "mb AS (SELECT " + ", ".join(f"avg({f}) AS b_{f}" for f in A_COLS) + " FROM bg)",
+    "lin AS ("
+    + " UNION ALL ".join(
+        f"SELECT p4.row_id, {i} AS i, '{f}' AS feature, a.{f} AS feature_value_raw, p4.{f} AS feature_value_model, "
+        f"({_W[f]}) * (p4.{f} - b_{f}) AS shap_value, {_W_BASE} AS base_value FROM p4 JOIN a USING (row_id), mb"
+        for i, f in enumerate(A_COLS)
+    )
+    + ")",
 )
-def linear_attribution(spark, sf):
+
+
+def attributed_a(spark, sf):
     df = splits.with_folds(T.survey_a(spark, sf)[0]).withColumn(
         "split", F.when(F.col("fold") == 0, "test").otherwise("train")
     )
@@ -565,8 +561,35 @@ def linear_attribution(spark, sf):
     ready = fit_preprocessing(df.where("split = 'train'"), T.SPEC_A, keep=keep, vector=None).transform(df)
     background = splits.background_sample(ready, features=A_COLS, key="row_id")
     weights = {f: _W[f] for f in A_COLS}
-    table = explain.linear_attribution(ready, background, key="row_id", weights=weights, intercept=_W[""])
-    return rounded(table, "feature_value_raw", "feature_value_model", "shap_value", "base_value")
+    return explain.linear_attribution(ready, background, key="row_id", weights=weights, intercept=_W[""])
+
+
+@query(
+    "linear_attribution",
+    with_ctes(
+        *_LINEAR_CTES,
+        """SELECT row_id, feature, round(feature_value_raw, 6) AS feature_value_raw, round(feature_value_model, 6) AS feature_value_model,
+             round(shap_value, 6) AS shap_value, round(base_value, 6) AS base_value,
+             CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(shap_value) DESC, i) AS INTEGER) AS abs_rank FROM lin""",
+    ),
+)
+def linear_attribution(spark, sf):
+    return rounded(attributed_a(spark, sf), "feature_value_raw", "feature_value_model", "shap_value", "base_value")
+
+
+@query(
+    "waterfall",
+    with_ctes(
+        *_LINEAR_CTES,
+        "rk AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY abs(shap_value) DESC, i) AS k FROM lin)",
+        """SELECT row_id, CAST(least(k, 3) AS INTEGER) AS abs_rank, round(sum(shap_value), 6) AS shap_value,
+             round(max(base_value), 6) AS base_value, CASE WHEN least(k, 3) = 3 THEN '2 other features' ELSE max(feature) END AS feature
+           FROM rk GROUP BY row_id, least(k, 3)""",
+    ),
+)
+def waterfall(spark, sf):
+    """The two largest attributions of every row, the others pooled."""
+    return rounded(explain.waterfall(attributed_a(spark, sf), key="row_id", max_display=3), "shap_value", "base_value")
 
 
 _SHAP = {"amount": 0.3, "k": -0.02, "": -3.0}

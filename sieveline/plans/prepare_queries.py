@@ -12,7 +12,8 @@ from sieveline.operators.evaluate import confusion, with_metrics
 from sieveline.plans import sql_views as V
 from sieveline.plans import testbed as T
 from sieveline.plans.registry import query, with_ctes
-from sieveline.session import written
+from sieveline.session import scratch_path, written
+from sieveline.sources import catalogs
 
 DIGITS = 6
 
@@ -566,3 +567,75 @@ def first_record_of_group(spark, sf):
 def record_preview(spark, sf):
     df = T.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("group_id"))
     return records.list_records(df, order=["o_orderkey"])
+
+
+@query(
+    "records_by_id",
+    """SELECT row_id, o_totalprice FROM (
+         SELECT o_totalprice, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders)
+       WHERE row_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""",
+)
+def records_by_id(spark, sf):
+    """P14 in batch: the numbered rows whose numbers another table asks for."""
+    orders = T.table(spark, sf, "orders")
+    table = records.numbered(orders.select("o_orderkey", "o_totalprice"), order="o_orderkey")
+    asked = orders.where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("row_id"))
+    return records.get_records(table, asked, features=["o_totalprice"])
+
+
+@query(
+    "saved_splits",
+    with_ctes(
+        V.A_RAW,
+        V.A,
+        V.B_RAW,
+        V.B,
+        V.FOLDS,
+        """SELECT split, label, count(*) AS n_rows FROM (
+             SELECT CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS split, label FROM a JOIN folds USING (group_id)
+             UNION ALL SELECT 'b_labeled', label FROM b
+             UNION ALL SELECT 'a_unlabeled', NULL FROM a_raw WHERE raw_label = 'CANDIDATE'
+             UNION ALL SELECT 'b_unlabeled', NULL FROM b_raw WHERE raw_label = 'CANDIDATE' AND default_flag = 1) GROUP BY ALL""",
+    ),
+)
+def saved_splits(spark, sf):
+    """The five processed sets written as one partitioned table and read back."""
+    (a, a_open), (b, b_open) = T.survey_a(spark, sf), T.survey_b(spark, sf)
+    path = scratch_path(spark, "splits")
+    catalogs.save_splits(splits.named_splits(a, b), a_open, b_open, path)
+    return catalogs.load_table(spark, path).groupBy("split", "label").agg(F.count("*").alias("n_rows"))
+
+
+_EXPLORE = ("o_totalprice", "c_acctbal", "partial")
+_EXPLORE_TOP = 10_000.000001
+
+
+@query(
+    "exploratory_stages",
+    with_ctes(
+        V.C,
+        _C_WIDE,
+        f"""x AS (SELECT o_orderkey, ln(1 + o_totalprice) AS o_totalprice, ln(1 + ({_EXPLORE_TOP} - c_acctbal)) AS c_acctbal,
+                    partial FROM cw)""",
+        "q AS (SELECT " + ", ".join(f"quantile_cont({c}, [0.25, 0.75]) AS q_{c}" for c in _EXPLORE) + " FROM x)",
+        "SELECT o_orderkey, "
+        + ", ".join(
+            f"round(CASE WHEN {c} < q_{c}[1] - 1.5 * (q_{c}[2] - q_{c}[1]) THEN q_{c}[1] - 1.5 * (q_{c}[2] - q_{c}[1]) "
+            f"WHEN {c} > q_{c}[2] + 1.5 * (q_{c}[2] - q_{c}[1]) THEN q_{c}[2] + 1.5 * (q_{c}[2] - q_{c}[1]) ELSE {c} END, 6) AS {c}"
+            for c in _EXPLORE
+        )
+        + " FROM x, q",
+    ),
+)
+def exploratory_stages(spark, sf):
+    """C17: drop the constant, screen, log, reflect at a fixed maximum, clip every column."""
+    df = T.survey_c(spark, sf).select(
+        "o_orderkey", "o_totalprice", "c_acctbal",
+        F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice")).alias("partial"),
+        (F.col("o_custkey") * 0).cast("double").alias("flat"),
+    )
+    stages_ = stages.exploratory_pipeline(
+        drop=["flat"], intervals=T.INTERVALS_C, right_skewed=["o_totalprice"], left_skewed=["c_acctbal"],
+        reflection_max={"c_acctbal": _EXPLORE_TOP}, columns=list(_EXPLORE),
+    )
+    return rounded(stages_.fit(df).transform(df), *_EXPLORE)

@@ -225,6 +225,8 @@ def test_split_errors(spark):
     df = fold_frame(spark, [1, 2, 3])
     with pytest.raises(KeyError):
         splits.with_folds(df.drop("label"))
+    with pytest.raises(ValueError, match="group_id"):
+        splits.with_folds(df.withColumn("group_id", F.when(F.col("i") > 0, F.col("group_id"))))
     with pytest.raises(ValueError, match=r"\[0, 4\]"):
         splits.train_test_split(df, fold_index=5)
 
