@@ -17,7 +17,6 @@ def local_session(cores: int | str = "*", shuffle: int = 8, app: str = "sievelin
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "256k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SIEVELINE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
