@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import quality, simhash
-from sieveline.llm.common import table
+from sieveline.llm import packing, quality, simhash, wavelet
+from sieveline.llm.common import Scratch, table
+from sieveline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file, where it is installed on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -36,3 +44,15 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return found.select("doc_id", hexed, "component_id")
+
+
+@_query("op6_token_shards")
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-shards")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return wavelet.read_shards(spark, path, Scratch(spark))
+
+
+@_query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, size=2048)
