@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import packing, quality, simhash, wavelet
+from sieveline.llm import packing, pii, quality, simhash, wavelet
 from sieveline.llm.common import Scratch, table
 from sieveline.session import scratch_path
 
@@ -46,6 +46,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed, "component_id")
 
 
+@_query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.RULES]
+    digest = F.sha2(pii.listed(with_more=False), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.listed(with_more=True).alias("spans"))
+
+
 @_query("op6_token_shards")
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-shards")
