@@ -51,9 +51,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def text_key(text: str = "text") -> Column:
+    """Hash of a text, by which rows of one id are told apart; a null text has one as well."""
+    return F.xxhash64(F.col(text), F.col(text).isNull())
+
+
 def row_key(text: str = "text") -> list[Column]:
-    """Columns under which rows with the same id and the same text meet; null-safe."""
-    return [F.col("doc_id"), F.xxhash64(F.col(text)).alias("text_key")]
+    """Columns under which rows with the same id and the same text meet."""
+    return [F.col("doc_id"), text_key(text).alias("text_key")]
 
 
 def crc_remainder(mod: int) -> Column:

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Scratch, let, row_key
+from sieveline.llm.common import Scratch, let, row_key, text_key
 
 # The rules by kind, in order. Loops are possessive and a match starts where a run of
 # its characters starts or where the match before ended; neither changes what is found, and both
@@ -298,7 +298,7 @@ def mask(docs: DataFrame) -> DataFrame:
     merged = F.aggregate(F.array_sort(all_spans), empty, stretch)
     marks = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), merged.alias("_s"))
     marks = marks.where(F.size("_s") > 0).dropDuplicates(["_id", "_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
 
     def piece(s: Column, i: Column) -> Column:
         begin = F.when(i > 0, F.get(F.col("_s"), i - 1)["end"]).otherwise(0)

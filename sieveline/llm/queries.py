@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import packing, pii, quality, simhash, wavelet
+from sieveline.llm import decontaminate, packing, pii, quality, simhash, wavelet
 from sieveline.llm.common import Scratch, table
 from sieveline.session import scratch_path
 
@@ -64,3 +64,12 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, size=2048)
+
+
+@_query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that leak benchmark items: one row each, with its items and the best of them."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.max_by(F.struct("item_id", "n_windows", "n_matched", "coverage", "changed"), F.struct("coverage", -F.col("item_id")))
+    one = found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), best.alias("b"))
+    return one.select("doc_id", "n_items", "b.*")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Scratch, row_key
+from sieveline.llm.common import Scratch, row_key, text_key
 from sieveline.llm.components import components
 
 #: Fingerprints in one segment bucket above which pairs are not enumerated.
@@ -172,7 +172,12 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2, segments: int =
     """
     found = near_duplicates(docs, width, max_bits, segments)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = found.where(first).groupBy("component_id").agg(F.min("text_key").alias("text_key"))
-    kept = kept.select(F.col("component_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id"])
+    kept = found.where(first).groupBy("component_id", "text_key").count()
+    kept = kept.groupBy("component_id").agg(F.min(F.struct("text_key", "count")).alias("k"))
+    kept = kept.select(F.col("component_id").alias("_id"), F.col("k.text_key").alias("_key"), F.col("k.count").alias("_n"))
+    kept, _ = Scratch(docs.sparkSession).write(kept, "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    if kept.where("_n > 1").isEmpty():
+        return docs.join(kept, same, "left_semi")
+    alone = docs.join(kept.where("_n = 1"), same, "left_semi")
+    return alone.unionByName(docs.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
