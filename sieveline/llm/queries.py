@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, packing, pii, quality, simhash, wavelet
+from sieveline.llm import decontaminate, licenses, packing, pii, quality, simhash, wavelet
 from sieveline.llm.common import Scratch, table
 from sieveline.session import scratch_path
 
@@ -39,6 +39,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(measured, cutoffs).select("doc_id", *base)
 
 
+@_query("op3_license_scan")
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 @_query("op4_simhash")
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=2)
