@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, licenses, packing, pii, quality, simhash, wavelet
-from sieveline.llm.common import Scratch, table
+from sieveline.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, wavelet
+from sieveline.llm.common import Scratch, crc_remainder, table
 from sieveline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,13 @@ def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_shards(spark, path, Scratch(spark))
 
 
+@_query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_remainder(3) == 1)
+    found = langid.train(docs.where("not held_out")).predict(docs, ["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 @_query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, size=2048)
