@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, langid, licenses, packing, pii, quality, simhash, wavelet
+from sieveline.llm import decontaminate, html, langid, licenses, packing, pii, quality, simhash, wavelet
 from sieveline.llm.common import Scratch, crc_remainder, table
 from sieveline.session import scratch_path
 
@@ -32,6 +32,11 @@ def _query(name: str, sql: str | None = None):
     return register
 
 
+@_query("op1_main_text")
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @_query("op2_quality_rules")
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured, cutoffs = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
