@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, html, langid, licenses, packing, pii, quality, simhash, wavelet
+from sieveline.llm import decontaminate, html, katz, langid, licenses, packing, pii, quality, simhash, wavelet
 from sieveline.llm.common import Scratch, crc_remainder, table
 from sieveline.session import scratch_path
 
@@ -90,3 +90,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = F.max_by(F.struct("item_id", "n_windows", "n_matched", "coverage", "changed"), F.struct("coverage", -F.col("item_id")))
     one = found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), best.alias("b"))
     return one.select("doc_id", "n_items", "b.*")
+
+
+@_query("op10_katz")
+def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), held_out=crc_remainder(7) == 2)
