@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ LEAST_WORDS = 3
 #: each) before the join; beyond it every window of a document takes part in the shuffled join.
 BROADCAST_WINDOWS = 4_000_000
 CACHE_TOKENS = 300_000
+PIECE_BYTES = 4 << 20
 # Units of measure that make a unit placeholder after a number.
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hrs day days week weeks month months year years "
@@ -53,50 +56,47 @@ class Canonical:
     """
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
-        self.rows: list[tuple[int, int, bool, bool, bool]] = []
+        self.known: dict[bytes, tuple[int, bool, bool, bool, bool]] = {}
         self.special = [np.uint64(_hash(s)) for s in (NUMBER, NAME, UNIT)]
 
-    def _row(self, token: bytes) -> int:
+    def _kind(self, token: bytes) -> tuple[int, bool, bool, bool, bool]:
         body = _BODY.match(token)[0]
         rest = token[len(body) :]
         text = body.decode(errors="replace")
-        number = body.isdigit()
         name = text[:1].isupper() and text[1:] == text[1:].lower() and len(text) > 1
-        word = _hash(body.lower())
-        self.rows.append((word, number, name, text.lower() in UNITS, any(c in rest for c in b".!?\n")))
-        self.known[token] = len(self.rows) - 1
-        return len(self.rows) - 1
-
-    def tokens(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(hash of each template token, whether it is a placeholder, the raw tokens)."""
-        raw = _TOKEN.findall(text)
+        return _hash(body.lower()), body.isdigit(), name, text.lower() in UNITS, any(c in rest for c in b".!?\n")
+
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """(hash, whether a placeholder, text number, raw token) of all template tokens of `texts`."""
+        found = [_TOKEN.findall(t) for t in texts]
+        sizes = [len(f) for f in found]
+        raw = list(chain.from_iterable(found))
+        text = np.repeat(np.arange(len(texts)), sizes)
+        if not raw:
+            return np.zeros(0, np.uint64), np.zeros(0, bool), text, raw
         if len(self.known) > CACHE_TOKENS:
-            self.known, self.rows = {}, []
-        get, made = self.known.get, self._row
-        at = np.array([i if (i := get(t)) is not None else made(t) for t in raw], np.int64)
-        if not len(raw):
-            return np.zeros(0, np.uint64), np.zeros(0, bool), raw
-        return *self._kinds(at), raw
-
-    def _kinds(self, at: np.ndarray):
-        if getattr(self, "_size", -1) != len(self.rows) or getattr(self, "_of", None) is not self.rows:
-            word, number, name, unit, ends = zip(*self.rows)
-            self._table = (np.array(word, np.uint64), np.array(number, bool), np.array(name, bool), np.array(unit, bool), np.array(ends, bool))
-            self._size, self._of = len(self.rows), self.rows
-        word, number, name, unit, ends = (t[at] for t in self._table)
-        first = np.concatenate([[True], ends[:-1]])
-        after_number = np.concatenate([[False], number[:-1]])
-        names = name & ~first & ~number
+            self.known = {}
+        distinct = list(set(raw))
+        for token in distinct:
+            if token not in self.known:
+                self.known[token] = self._kind(token)
+        number_of = {t: i for i, t in enumerate(distinct)}
+        at = np.fromiter(map(number_of.__getitem__, raw), np.int64, len(raw))
+        word, number, name, unit, ends = zip(*[self.known[t] for t in distinct])
+        hashes = np.array(word, np.uint64)[at]
+        number, name, unit, ends = (np.array(x, bool)[at] for x in (number, name, unit, ends))
+        new = np.concatenate([[True], text[1:] != text[:-1]])
+        first = new | np.concatenate([[True], ends[:-1]])
+        after_number = ~new & np.concatenate([[False], number[:-1]])
         units = unit & after_number & ~number
-        hashes = word.copy()
-        for mask, special in zip((number, names & ~units, units), self.special):
+        names = name & ~first & ~number & ~units
+        for mask, special in zip((number, names, units), self.special):
             hashes[mask] = special
-        return hashes, number | names | units
+        return hashes, number | names | units, text, raw
 
 
-def windows(hashes: np.ndarray, slots: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each window, where it starts), for windows with enough plain words."""
+def windows(hashes: np.ndarray, slots: np.ndarray, text: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first token) of each window inside a text with enough plain words."""
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -106,52 +106,59 @@ def windows(hashes: np.ndarray, slots: np.ndarray, width: int = WINDOW) -> tuple
         mixed = (mixed ^ hashes[k : k + n]) * _MIX
         mixed ^= mixed >> np.uint64(29)
         words += ~slots[k : k + n]
-    at = np.nonzero(words >= LEAST_WORDS)[0]
+    at = np.nonzero((words >= LEAST_WORDS) & (text[:n] == text[width - 1 :]))[0]
     return mixed[at], at
 
 
-_WINDOWS = "window long, at long, size long, slots array<string>"
+_WINDOWS = "window long, size long, slots array<string>"
 
 
 def _found(keys: list[str], wanted, every: bool):
-    """Function over batches (keys, text): one row per window that is wanted (None: all)."""
+    """Function over batches (keys, text): one row per window that is wanted (None: all).
+
+    With `every` equal windows of a text are one row, and size counts the distinct ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
         known = wanted.value if wanted is not None else None
-        for batch in batches:
-            rows, window, place, size, slot = [], [], [], [], []
-            for row, text in enumerate(batch.column(len(keys))):
-                raw_text = text.as_py()
-                if not raw_text:
-                    continue
-                hashes, slots, raw = canonical.tokens(raw_text)
-                found, at = windows(hashes, slots)
-                if every:  # an item's window counts once
-                    found, first = np.unique(found, return_index=True)
-                    at = at[first]
-                total = len(found)
-                if known is not None:
-                    hit = known[np.minimum(np.searchsorted(known, found), max(len(known) - 1, 0))] == found if len(known) else np.zeros(len(found), bool)
-                    found, at = found[hit], at[hit]
-                rows += [row] * len(found)
-                window += found.view(np.int64).tolist()
-                place += at.tolist()
-                size += [total] * len(found)
-                for start in at.tolist():
-                    slot.append([_BODY.match(raw[i])[0].decode().lower() for i in range(start, start + WINDOW) if slots[i]])
-            take = pa.array(rows, pa.int64())
-            columns = [batch.column(i).take(take) for i in range(len(keys))]
-            values = [pa.array(window, pa.int64()), pa.array(place, pa.int64()), pa.array(size, pa.int64()), pa.array(slot, pa.list_(pa.string()))]
-            names = [*keys, "window", "at", "size", "slots"]
-            if rows:
-                yield pa.RecordBatch.from_arrays([*columns, *values], names=names)
+        for batch in _slices(batches, len(keys)):
+            texts = [t or b"" for t in batch.column(len(keys)).to_pylist()]
+            hashes, slots, text, raw = canonical.tokens(texts)
+            found, at = windows(hashes, slots, text)
+            if every:
+                order = np.lexsort((at, found, text[at]))
+                new = np.ones(len(order), bool)
+                new[1:] = (found[order][1:] != found[order][:-1]) | (text[at[order]][1:] != text[at[order]][:-1])
+                found, at = found[order[new]], at[order[new]]
+            total = np.bincount(text[at], minlength=len(texts))
+            if known is not None:
+                hit = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found if len(known) else np.zeros(len(found), bool)
+                found, at = found[hit], at[hit]
+            if len(found):
+                rows = text[at]
+                values = [[_BODY.match(raw[i])[0].decode().lower() for i in range(start, start + WINDOW) if slots[i]] for start in at.tolist()]
+                columns = [batch.column(i).take(pa.array(rows)) for i in range(len(keys))]
+                columns += [pa.array(found.view(np.int64)), pa.array(total[rows]), pa.array(values, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "window", "size", "slots"])
 
     return run
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Pieces of some megabytes of text (a longer text is a piece of its own)."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(sizes[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sizes, before + PIECE_BYTES)))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, window, at, size, slots): the distinct windows of each item, size of them in all.
+    """(item_id, item_key, window, size, slots): the distinct windows of each item, size of them in all.
 
     Items with a null id or text, and items without a window of enough plain words, have none.
     Of several rows of one id each distinct text counts on its own under the id.
