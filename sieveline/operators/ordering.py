@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sieveline.operators.sketches import sketch_quantiles
-from sieveline.session import small
+from sieveline.session import small, written
 
 BUCKET = "__bucket"
 
@@ -144,30 +144,24 @@ def hash_index(
     )
 
 
-def value_index(
-    df: DataFrame, *, order: str, ties: Sequence[str] = (), keys: Sequence[str] = (), out: str = "idx"
-) -> DataFrame:
-    """Positions in the order of a numeric column (P13 row numbers), ties by further columns.
+def value_index(df: DataFrame, *, order: str, ties: Sequence[str] = (), out: str = "idx") -> DataFrame:
+    """Positions in the order of a column of any sortable type (P13 row numbers), ties by further
+    columns and then by a hash of the row.
 
-    A value that fills a bucket by itself is told apart by the first tie column, which is
-    numeric then: its rows get buckets of their own along that column.
+    Spark's range partitioning deals the rows out by all of these, so a value that many rows share
+    is cut as well. The sorted ranges are written once: a row's place in its range and the sizes of
+    the ranges before, one row per range, give its position. NULL keys come first.
     """
-    valued = df.withColumn("__v", F.col(order).cast("double"))
-    n = bucket_count(df.sparkSession)
-    marks = quantile_marks(valued, "__v", n)
-    parts = with_bucket(valued, "__v", sorted(set(marks))).withColumnRenamed(BUCKET, "__b")
-    hot = sorted({a for a, b in zip(marks, marks[1:]) if a == b})
-    if hot and ties:
-        # a hot value is the lower end of its bucket, so its rows come first in it
-        is_hot = F.col("__v").isin(hot)
-        parts = parts.withColumn("__t", F.col(ties[0]).cast("double"))
-        cuts = cut_points(parts.where(is_hot), "__t", n)
-        parts = with_bucket(parts, "__t", cuts).withColumnRenamed(BUCKET, "__s").drop("__t")
-        bucket = F.struct("__b", (~is_hot).alias("h"), F.when(is_hot, F.col("__s")).otherwise(F.lit(0)).alias("s"))
-    else:
-        parts, bucket = parts.withColumn("__s", F.lit(0)), F.struct("__b")
-    placed = dense_index(parts, bucket=bucket, order=[F.col(order), *[F.col(t) for t in ties]], keys=keys, out=out)
-    return placed.drop("__v", "__b", "__s")
+    columns = [F.col(order), *[F.col(t) for t in ties], F.xxhash64(*[F.col(c) for c in df.columns])]
+    ranged = df.repartitionByRange(bucket_count(df.sparkSession), *columns).sortWithinPartitions(*columns)
+    placed = written(ranged.withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33).alias("__part")  # the id holds the partition above 33 bits of row number
+    sizes = placed.groupBy(part).agg(F.count("*").alias("n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = sizes.select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = placed.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return numbered.select(*df.columns, (F.col("__start") + row).cast("long").alias(out))
 
 
 HOT_SHARE = 1000

@@ -13,7 +13,7 @@ from sieveline.operators.ordering import value_index
 
 
 def numbered(df: DataFrame, *, order: str, ties: Sequence[str] = (), out: str = "row_id") -> DataFrame:
-    """0-based row numbers in the order of the table's numeric key."""
+    """0-based row numbers in the order of the table's key, whatever its type."""
     return value_index(df, order=order, ties=ties, out=out)
 
 

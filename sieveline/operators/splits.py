@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sieveline import config as C
 from sieveline.functions.exprs import seeded_hash
+from sieveline.operators.harmonize import require_columns
 from sieveline.operators.ordering import hash_digits
 from sieveline.session import local_frame, small
 
 _CYCLE = 200
+SHARE_DIGITS = 12
 LOOKUP_SHARE = 10_000
 LOOKUP_ROWS = 50_000
 
@@ -43,7 +45,7 @@ def _cycle(load, totals: tuple[int, int], n_splits: int) -> list[int]:
     room = [max(0.0, sum(totals) / n_splits - f) for f in filled]
     if not any(room):
         return list(range(n_splits))
-    share = [r / sum(room) for r in room]
+    share = [round(r / sum(room), SHARE_DIGITS) for r in room]
     credit, out = [0.0] * n_splits, []
     for _ in range(_CYCLE):
         credit = [c + s for c, s in zip(credit, share)]
@@ -60,23 +62,27 @@ def group_folds(
     group: str = C.GROUP,
     n_splits: int = C.N_SPLITS,
     seed: int = C.SEED,
-) -> tuple[DataFrame, dict]:
-    """(fold of every light group, folds of the heavy groups) (K1).
-
-    See `with_folds` for the fold of every row.
+) -> DataFrame:
+    """(group, n_pos, n_neg, fold) of every group (K1). See `with_folds` for the fold of every row.
 
-    Light groups are dealt in the order (positives desc, negatives desc, seeded md5, group).
-    A group above 1/(20 n_splits) of all rows is heavy; at most 20 n_splits such groups can
-    exist, so they are placed on the driver and the light ones fill up what is left.
+    A group above 1/(20 n_splits) of all rows is heavy, whatever the number of rows; at most
+    20 n_splits such groups can exist, so they are placed on the driver, the largest first, and
+    the light ones fill up what is left. Light groups are dealt in the order (positives desc,
+    negatives desc, seeded md5, group).
     """
-    return _folds(df, target=target, group=group, n_splits=n_splits, seed=seed)[:2]
+    light, heavy, _ = _folds(df, target=target, group=group, n_splits=n_splits, seed=seed)
+    return light.unionByName(_heavy_table(df, heavy, group))
+
+
+def _heavy_table(df: DataFrame, heavy: list[tuple], group: str) -> DataFrame:
+    kind = df.schema[group].dataType.simpleString()
+    return local_frame(df.sparkSession, heavy, f"{group} {kind}, n_pos long, n_neg long, fold int")
 
 
-def _folds(df: DataFrame, *, target: str, group: str, n_splits: int, seed: int) -> tuple[DataFrame, dict, float | None]:
-    """As `group_folds`, with the size above which a light group is looked up by broadcast."""
-    for c in (target, group):
-        if c not in df.columns:
-            raise KeyError(f"`{target}` and `{group}` must exist in the dataframe.")
+def _folds(df: DataFrame, *, target: str, group: str, n_splits: int, seed: int) -> tuple[DataFrame, list[tuple], float | None]:
+    """Folds of the light groups, rows of the heavy ones, and the size above which a light group
+    is looked up by broadcast."""
+    require_columns(df, (target, group), "columns to deal folds by")
     sizes = df.groupBy(F.col(group).alias("g")).agg(
         F.count_if(F.col(target) == 1).alias("n_pos"),
         F.count_if(F.col(target) == 0).alias("n_neg"),
@@ -87,10 +93,9 @@ def _folds(df: DataFrame, *, target: str, group: str, n_splits: int, seed: int)
         raise ValueError(f"rows without a `{group}` cannot be dealt into folds")
     totals = (row[0] or 0, row[1] or 0)
     limit = sum(totals) / (20.0 * n_splits)
-    # with few rows per fold every group would count as heavy: deal them all
-    limit = limit if sum(totals) >= 400 * n_splits else float("inf")
     heavy_rows = [tuple(r) for r in sizes.where(size > limit).collect()] if (row[2] or 0) > limit else []
-    heavy, load = _assign_heavy(heavy_rows, n_splits, totals)
+    chosen, load = _assign_heavy(heavy_rows, n_splits, totals)
+    heavy = [(g, p, n, chosen[g]) for g, p, n in heavy_rows]
     cycle = _cycle(load, totals, n_splits)
 
     light = sizes.where(size <= limit).withColumn("h", seeded_hash(seed, F.col("g")))
@@ -130,8 +135,7 @@ def with_folds(
     groups, and any group with over 1/LOOKUP_SHARE of the rows (and LOOKUP_ROWS rows at least).
     """
     light, heavy, limit = _folds(df, target=target, group=group, n_splits=n_splits, seed=seed)
-    kind = df.schema[group].dataType.simpleString()
-    table = local_frame(df.sparkSession, list(heavy.items()), f"{group} {kind}, fold int")
+    table = _heavy_table(df, heavy, group).select(group, "fold")
     size = F.col("n_pos") + F.col("n_neg")
     if limit is not None:
         table = table.unionByName(light.where(size > limit).select(group, "fold"))
@@ -144,25 +148,23 @@ def with_folds(
     return of_large.unionByName(of_light.select(*df.columns, "fold"))
 
 
-def train_test_split(df: DataFrame, *, fold_index: int = 0, n_splits: int = C.N_SPLITS, **kw):
-    """(train, test): one fold held out."""
-    if not 0 <= fold_index < n_splits:
-        raise ValueError(f"`fold_index` must be in [0, {n_splits - 1}], got {fold_index}.")
-    folded = with_folds(df, n_splits=n_splits, **kw)
-    return (
-        folded.where(F.col("fold") != fold_index).drop("fold"),
-        folded.where(F.col("fold") == fold_index).drop("fold"),
-    )
+def _held_out(fold_index: int, n_splits: int) -> Column:
+    """`test` for the rows of one fold, `train` for the others."""
+    if fold_index not in range(n_splits):
+        raise ValueError(f"there are folds 0 to {n_splits - 1}, not {fold_index}")
+    return F.when(F.col("fold") == fold_index, F.lit("test")).otherwise(F.lit("train"))
+
+
+def train_test_split(df: DataFrame, *, fold_index: int = 0, n_splits: int = C.N_SPLITS, **kw) -> DataFrame:
+    """The rows with a `split` column, `train` or `test`: one fold held out. One frame, so that
+    the folds are dealt once whichever part is read."""
+    split = _held_out(fold_index, n_splits)
+    return with_folds(df, n_splits=n_splits, **kw).withColumn("split", split).drop("fold")
 
 
 def named_splits(labeled_a: DataFrame, labeled_b: DataFrame, *, fold_index: int = 0, **kw) -> DataFrame:
     """Train and test part of A and all of B as the external set, in a `split` column (K2)."""
-    n_splits = kw.get("n_splits", C.N_SPLITS)
-    if not 0 <= fold_index < n_splits:
-        raise ValueError(f"`fold_index` must be in [0, {n_splits - 1}], got {fold_index}.")
-    folded = with_folds(labeled_a, **kw)
-    split = F.when(F.col("fold") == fold_index, F.lit("test")).otherwise(F.lit("train"))
-    part_a = folded.withColumn("split", split).drop("fold")
+    part_a = train_test_split(labeled_a, fold_index=fold_index, **kw)
     return part_a.unionByName(labeled_b.withColumn("split", F.lit("b_labeled")), allowMissingColumns=True)
 
 
@@ -180,15 +182,16 @@ def background_sample(
     df: DataFrame, *, features, key: str, max_rows: int = 200, seed: int = C.SEED
 ) -> DataFrame:
     """Exactly min(max_rows, n) rows without replacement, by seeded hash of the row key (K4)."""
-    absent = [c for c in features if c not in df.columns]
-    if absent:
-        raise KeyError(f"Missing required feature columns in background data: {', '.join(absent)}")
+    require_columns(df, features, "background features")
     h = seeded_hash(seed, F.col(key))
     return df.select(key, *features, h.alias("__h")).orderBy("__h", key).limit(max_rows).drop("__h")
 
 
 def class_weights(df: DataFrame, *, target: str = C.TARGET) -> Mapping[int, float]:
-    """n / (2 n_c) per class (A14); the classes are two, so the counts come to the driver."""
-    counts = {r[0]: r[1] for r in df.groupBy(target).count().collect()}
-    total = sum(counts.values())
-    return {c: total / (2.0 * n) for c, n in counts.items()}
+    """n / (2 n_c) per class 0 and 1 that occurs (A14); other labels are an error."""
+    y = F.col(target)
+    row = df.agg(F.count_if(y == 0), F.count_if(y == 1), F.count_if(y.isNull() | ~y.isin(0, 1))).first()
+    if row[2]:
+        raise ValueError(f"{row[2]} rows have a `{target}` other than 0 and 1")
+    total = row[0] + row[1]
+    return {c: total / (2.0 * n) for c, n in enumerate(row[:2]) if n}

@@ -80,7 +80,16 @@ def unmapped_report(spark, sf):
 
 @query("group_folds", with_ctes(V.A_RAW, V.A, V.FOLDS, "SELECT group_id, n_pos, n_neg, fold FROM folds"))
 def group_folds(spark, sf):
-    return splits.group_folds(T.survey_a(spark, sf)[0])[0]
+    return splits.group_folds(T.survey_a(spark, sf)[0])
+
+
+@query("group_folds_heavy", with_ctes(V.A_RAW, V.A, V.HEAVY, V.HEAVY_FOLDS, "SELECT group_id, n_pos, n_neg, fold FROM folds"))
+def group_folds_heavy(spark, sf):
+    """K1 where nine groups hold over 1 % of the rows each: they are placed first, the others fill up."""
+    a = T.survey_a(spark, sf)[0]
+    number = F.split("row_id", "-")[2].cast("int")
+    big = F.when(number % 5 == 0, F.concat(F.lit("big-"), (number % 9).cast("string"))).otherwise(F.col("group_id"))
+    return splits.group_folds(a.withColumn("group_id", big))
 
 
 @query(
@@ -108,9 +117,7 @@ def fold_balance(spark, sf):
     ),
 )
 def train_test_split(spark, sf):
-    train, test = splits.train_test_split(T.survey_a(spark, sf)[0])
-    parts = harmonize.combine_sets({"train": train, "test": test})
-    return parts.select("row_id", "group_id", "label", F.col("dataset").alias("split"))
+    return splits.train_test_split(T.survey_a(spark, sf)[0]).select("row_id", "group_id", "label", "split")
 
 
 @query(
@@ -474,11 +481,11 @@ def spearman_matrix(spark, sf):
     "correlated_pairs",
     with_ctes(
         *_SPEARMAN_CTES,
-        "SELECT feature_i, feature_j, round(rho, 6) AS rho FROM p WHERE feature_i <> feature_j AND abs(rho) > 0.5",
+        "SELECT feature_i, feature_j, round(rho, 6) AS rho FROM p WHERE feature_i <> feature_j AND abs(rho) > 0.002",
     ),
 )
 def correlated_pairs(spark, sf):
-    return rounded(correlation.correlated_pairs(_spearman(spark, sf), limit=0.5), "rho")
+    return rounded(correlation.correlated_pairs(_spearman(spark, sf), limit=0.002), "rho")
 
 
 _VALIDATE = ("amount", "k")

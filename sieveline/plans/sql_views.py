@@ -65,6 +65,52 @@ folds AS (
               AS INTEGER) AS fold
   FROM groups)"""
 
+HEAVY = """
+groups AS (
+  SELECT CASE WHEN CAST(split_part(row_id, '-', 3) AS INTEGER) % 5 = 0
+              THEN 'big-' || (CAST(split_part(row_id, '-', 3) AS INTEGER) % 9) ELSE group_id END AS group_id,
+         count(*) FILTER (WHERE label = 1) AS n_pos, count(*) FILTER (WHERE label = 0) AS n_neg
+  FROM a GROUP BY 1)"""
+
+# heavy groups one by one to the fold they overfill least, then the order in which folds are dealt
+HEAVY_FOLDS = """
+tot AS (SELECT sum(n_pos) AS p, sum(n_neg) AS n, greatest(1.0, sum(n_pos) / 5.0) AS gp, greatest(1.0, sum(n_neg) / 5.0) AS gn FROM groups),
+hv AS (
+  SELECT group_id, n_pos, n_neg, row_number() OVER (ORDER BY n_pos + n_neg DESC, group_id) AS i
+  FROM groups, tot WHERE n_pos + n_neg > (p + n) / 100.0),
+placed AS (
+  WITH RECURSIVE r(i, group_id, n_pos, n_neg, fold, lp, ln) AS (
+    SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS INTEGER),
+           [0.0::DOUBLE, 0, 0, 0, 0], [0.0::DOUBLE, 0, 0, 0, 0]
+    UNION ALL
+    SELECT i, group_id, n_pos, n_neg, fold - 1,
+           list_transform(lp, lambda x, k: x + CASE WHEN k = fold THEN n_pos ELSE 0 END),
+           list_transform(ln, lambda x, k: x + CASE WHEN k = fold THEN n_neg ELSE 0 END)
+    FROM (SELECT *, list_position(cost, list_min(cost)) AS fold FROM (
+            SELECT hv.*, lp, ln,
+                   list_transform([1, 2, 3, 4, 5], lambda f: greatest((lp[f] + hv.n_pos) / gp, (ln[f] + hv.n_neg) / gn)) AS cost
+            FROM r JOIN hv ON hv.i = r.i + 1, tot)))
+  SELECT * FROM r),
+room AS (
+  SELECT list_transform([1, 2, 3, 4, 5], lambda f: greatest(0.0, (p + n) / 5.0 - lp[f] - ln[f])) AS room
+  FROM placed, tot ORDER BY i DESC LIMIT 1),
+share AS (SELECT list_transform(room, lambda x: round(x / list_sum(room), 12)) AS share FROM room),
+deal AS (
+  WITH RECURSIVE d(j, pick, credit) AS (
+    SELECT -1, CAST(NULL AS INTEGER), [0.0::DOUBLE, 0, 0, 0, 0]
+    UNION ALL
+    SELECT j + 1, pick, list_transform(c, lambda x, k: CASE WHEN k = pick THEN x - 1.0 ELSE x END)
+    FROM (SELECT j, c, list_position(c, list_max(c)) AS pick FROM (
+            SELECT j, list_transform([1, 2, 3, 4, 5], lambda f: credit[f] + share[f]) AS c FROM d, share WHERE j < 199)))
+  SELECT j, pick - 1 AS pick FROM d WHERE j >= 0),
+light AS (
+  SELECT group_id, n_pos, n_neg,
+         (row_number() OVER (ORDER BY n_pos DESC, n_neg DESC, md5('42:' || group_id), group_id) - 1) % 200 AS j
+  FROM groups ANTI JOIN hv USING (group_id)),
+folds AS (
+  SELECT group_id, n_pos, n_neg, CAST(pick AS INTEGER) AS fold FROM light JOIN deal USING (j)
+  UNION ALL SELECT group_id, n_pos, n_neg, fold FROM placed WHERE i > 0)"""
+
 # the seven preprocessing steps, fitted on the rows outside fold 0
 PREPARED = (
     FOLDS

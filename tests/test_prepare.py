@@ -172,11 +172,23 @@ def test_positions_with_a_value_on_a_third_of_the_rows(spark):
     assert got == sorted(got) and [r["idx"] for r in placed.orderBy("idx").collect()] == list(range(6000))
 
 
+def test_positions_of_a_text_key_with_a_frequent_value(spark):
+    df = spark.range(5000).select(F.col("id").alias("n"), F.when(F.col("id") % 3 > 0, "same").otherwise(F.concat(F.lit("k"), F.col("id"))).alias("k"))
+    df = df.withColumn("k", F.when(F.col("n") != 7, F.col("k")))
+    for ties in (["n"], []):
+        placed = ordering.value_index(df, order="k", ties=ties).orderBy("idx").collect()
+        keys = [r["k"] for r in placed]
+        assert [r["idx"] for r in placed] == list(range(5000)) and keys[0] is None and keys[1:] == sorted(keys[1:])
+        if ties:
+            own = [r["n"] for r in placed if r["k"] == "same"]
+            assert own == sorted(own)
+
+
 def test_large_groups_skip_the_shuffle_join(spark, monkeypatch):
     monkeypatch.setattr(splits, "LOOKUP_ROWS", 5)
     monkeypatch.setattr(splits, "LOOKUP_SHARE", 10**9)
     df = fold_frame(spark, [1 + g % 9 for g in range(900)])
-    light = {r["group_id"]: r["fold"] for r in splits.group_folds(df)[0].collect()}
+    light = {r["group_id"]: r["fold"] for r in splits.group_folds(df).collect()}
     folded = splits.with_folds(df)
     assert folded.count() == df.count()
     assert all(light[r["group_id"]] == r["fold"] for r in folded.collect())
@@ -221,13 +233,21 @@ def test_a_group_with_a_third_of_all_rows_leaves_the_other_folds_even(spark):
     assert max(sizes[:-1]) - min(sizes[:-1]) <= 40
 
 
+def test_folds_depend_on_shares_alone(spark):
+    sizes = [600, 90, 45, *[1 + g % 4 for g in range(400)]]
+    small_, twice = (splits.group_folds(fold_frame(spark, [n * k for n in sizes]).withColumn("label", F.lit(1))) for k in (1, 2))
+    folds = {r["group_id"]: r["fold"] for r in small_.collect()}
+    assert len(folds) == len(sizes)
+    assert folds == {r["group_id"]: r["fold"] for r in twice.collect()}
+
+
 def test_split_errors(spark):
     df = fold_frame(spark, [1, 2, 3])
     with pytest.raises(KeyError):
         splits.with_folds(df.drop("label"))
     with pytest.raises(ValueError, match="group_id"):
         splits.with_folds(df.withColumn("group_id", F.when(F.col("i") > 0, F.col("group_id"))))
-    with pytest.raises(ValueError, match=r"\[0, 4\]"):
+    with pytest.raises(ValueError, match="folds 0 to 4"):
         splits.train_test_split(df, fold_index=5)
 
 
