@@ -669,6 +669,5 @@ def knn_exact(spark, sf):
 )
 def knn_vote(spark, sf):
     found = neighbors_of_embeddings(spark, sf)
-    uniform = neighbors.vote(found, query_id="vec_id", out="uniform")
-    weighted = neighbors.vote(found, query_id="vec_id", weights="distance", out="distance")
-    return rounded(uniform.join(weighted, "vec_id"), "uniform", "distance")
+    votes = found.groupBy("vec_id").agg(*[neighbors.vote_of("label", weights).alias(weights) for weights in ("uniform", "distance")])
+    return rounded(votes, "uniform", "distance")

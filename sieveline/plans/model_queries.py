@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sieveline.models import families
 from sieveline.models.search import fit_model, run_search, search_summary
-from sieveline.operators import explain, splits
+from sieveline.operators import explain, neighbors, splits
 from sieveline.operators.score import predict, rank_candidates
 from sieveline.plans import testbed as T
 from sieveline.plans.prepare_queries import _VALID_SQL, VALIDATE_INTERVALS, _VALIDATE, inputs_to_validate
@@ -132,28 +132,55 @@ def stream_score(spark, sf):
     return spark.read.parquet(f"{out}/scores")
 
 
+@query(
+    "stream_knn",
+    """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     t AS (SELECT vec_id AS t_id, v AS t_v, label AS y FROM e WHERE vec_id % 3 <> 0),
+     d AS (SELECT vec_id, t_id, y, sqrt(list_sum(list_transform(list_zip(v, t_v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS distance
+           FROM e, t WHERE vec_id % 3 = 0),
+     nn AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(distance, 9), t_id) AS rank FROM d)
+     SELECT vec_id, round(avg(CASE WHEN y = 1 THEN 1.0 ELSE 0.0 END), 6) AS score FROM nn WHERE rank <= 5 GROUP BY vec_id""",
+)
+def stream_knn(spark, sf):
+    """T2 with a deployment that joins with its own table: k-NN over the vectors, batch by batch."""
+    out = scratch_path(spark, "stream-knn")
+    vectors = T.table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").alias("y"))
+    train = vectors.where("vec_id % 3 <> 0")
+    stream = flows.file_stream(spark, sf, spark.read.parquet(f"{sf}/embeddings.parquet").schema, name="embeddings.parquet")
+
+    def score(batch):
+        found = neighbors.nearest(
+            batch, train, k=5, query_id="vec_id", train_id="vec_id", vector="embedding", payload=["y"]
+        )
+        voted = neighbors.vote(found, query_id="vec_id", label="y")
+        return voted.select("vec_id", (F.round("score", 6)).alias("score"))
+
+    flows.score_stream(
+        stream.where("vec_id % 3 = 0"), score, path=f"{out}/scores", checkpoint=f"{out}/checkpoint", by_batch=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{out}/scores").drop("batch")
+
+
 @query(
     "stream_monitor",
     """WITH w AS (SELECT epoch(date_trunc('hour', ts)) AS s, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k,
-                         event_type FROM events),
-     lim AS (SELECT epoch_ms(max(ts)) / 1000.0 - 3600 AS mark FROM events)
+                         event_type FROM events)
      SELECT strftime(make_timestamp(CAST(s * 1000000 AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS window_start, feature, count(*) AS n_rows,
             count(*) FILTER (WHERE event_type = 'purchase') AS n_positive,
             CASE feature WHEN 'value' THEN count(*) FILTER (WHERE value < 1 OR value > 400) ELSE count(*) FILTER (WHERE k > 95) END AS out_of_range_n
-     FROM w CROSS JOIN (SELECT unnest(['value', 'k']) AS feature), lim WHERE s + 3600 <= mark GROUP BY s, feature""",
+     FROM w CROSS JOIN (SELECT unnest(['value', 'k']) AS feature) GROUP BY s, feature""",
 )
 def stream_monitor(spark, sf):
-    """Windows closed by the watermark once the stream is drained."""
+    """Windows closed by the watermark, and those left open once the stream is drained."""
     out = scratch_path(spark, "stream-monitor")
-    stream = _inputs(spark, sf).select(
-        F.col("ts").cast("timestamp").alias("ts"), "value", F.get_json_object("props", "$.k").cast("double").alias("k"), "event_type"
-    )
-    counts = flows.monitor(
-        stream, ts="ts", intervals={"value": (1.0, 400.0), "k": (None, 95.0)}, positive=F.col("event_type") == "purchase"
-    )
-    counts = counts.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    k = F.get_json_object("props", "$.k").cast("double").alias("k")
+    shown = lambda df: df.select(F.col("ts").cast("timestamp").alias("ts"), "value", k, "event_type")
+    settings = {"ts": "ts", "intervals": {"value": (1.0, 400.0), "k": (None, 95.0)}, "positive": F.col("event_type") == "purchase"}
+    counts = flows.monitor(shown(_inputs(spark, sf)), **settings)
     (
         counts.writeStream.format("parquet").outputMode("append").option("path", f"{out}/windows")
         .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     )
-    return spark.read.parquet(f"{out}/windows")
+    closed = spark.read.schema(counts.schema).parquet(f"{out}/windows")
+    both = closed.unionByName(flows.open_windows(shown(T.table(spark, sf, "events")), closed, **settings))
+    return both.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

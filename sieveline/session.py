@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -28,19 +29,60 @@ def local_session(cores: int | str = "*", shuffle: int = 8, app: str = "sievelin
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor sees, from `spark.checkpoint.dir`; local mode may fall back to /tmp."""
+    """Folder every executor sees, from `spark.checkpoint.dir`; local mode may fall back to /tmp.
+
+    On a cluster a folder without a scheme must not mean a machine's own disk; a mounted share is
+    named as file://.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if configured:
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        if not local and "://" not in configured and not configured.startswith("file:") and default.startswith("file:"):
+            raise RuntimeError(f"{configured} may be a folder of each machine: give spark.checkpoint.dir with its scheme")
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="sieveline-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; `drop_scratch` removes what this process has put there."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Remove the scratch tables of this process and give their number.
+
+    For whoever consumes results: a lazy result reads its scratch tables, so call it once results
+    are written, and not while others of this process still run.
+    """
+    gone = 0
+    while _SCRATCH:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return gone
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application; installed workers use it as well."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="sieveline-package-"), "sieveline")
+    context.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
+    _SHIPPED.add(context.applicationId)
 
 
 def written(df: DataFrame, name: str = "stage") -> DataFrame:

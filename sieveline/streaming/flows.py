@@ -54,18 +54,28 @@ def validate_stream(
 
 
 def score_stream(
-    stream: DataFrame, score: Callable[[DataFrame], DataFrame], *, path: str, checkpoint: str
+    stream: DataFrame,
+    score: Callable[[DataFrame], DataFrame],
+    *,
+    path: str,
+    checkpoint: str,
+    by_batch: bool = False,
 ) -> StreamingQuery:
-    """Append scored rows; `score` is a stateless transformation such as `predict`."""
-    return (
-        score(stream)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    """Append scored rows.
+
+    `score` is a stateless transformation such as `predict`. With `by_batch` it sees each
+    micro-batch as a table, which models that join with a table of their own need (k-NN); a batch
+    owns a folder named by its id, so a replayed one replaces its earlier output.
+    """
+    if by_batch:
+
+        def sink(batch: DataFrame, batch_id: int) -> None:
+            score(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+        writer = stream.writeStream.foreachBatch(sink)
+    else:
+        writer = score(stream).writeStream.format("parquet").outputMode("append").option("path", path)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def monitor(
@@ -77,10 +87,15 @@ def monitor(
     window: str = "1 hour",
     delay: str = "1 hour",
 ) -> DataFrame:
-    """Rows, out-of-range values per feature and positive decisions per event-time window."""
+    """Rows, out-of-range values per feature and positive decisions per event-time window.
+
+    `stream` may be a table as well. On a stream, windows come out once the watermark has passed
+    them; `open_windows` gives those that a drained stream leaves open.
+    """
     held = [(c, lo, hi) for c, (lo, hi) in intervals.items() if c in stream.columns]
     slot = F.window(ts, window)
-    counts = stream.withWatermark(ts, delay).groupBy(slot.alias("w")).agg(
+    rows = stream.withWatermark(ts, delay) if stream.isStreaming else stream
+    counts = rows.groupBy(slot.alias("w")).agg(
         F.count("*").alias("n_rows"),
         *[
             F.count_if(out_of_range(number_of(stream, c), lo, hi)).alias(f"bad{i}")
@@ -100,3 +115,12 @@ def monitor(
             ]
         ),
     )
+
+
+def open_windows(rows: DataFrame, closed: DataFrame, *, ts: str, window: str = "1 hour", **settings) -> DataFrame:
+    """What `monitor` counts in the windows after the last of `closed`, over the stream's rows as a
+    table: only rows from there on are aggregated."""
+    last = closed.agg(F.max("window_start").alias("last"))  # one row
+    since = F.col("last") + F.expr(f"INTERVAL {window}")
+    tail = rows.join(F.broadcast(last)).where(F.col("last").isNull() | (F.col(ts) >= since)).drop("last")
+    return monitor(tail, ts=ts, window=window, **settings)
