@@ -123,6 +123,22 @@ PROFILE_METRIC = {
     "precision_constrained": "precision",
 }
 
+# columns of the comparison table, in order
+COMPARISON_COLUMNS = (
+    "model", "profile", "threshold", "recall", "precision", "f2", "pr_auc", "tn", "fp", "fn", "tp", "dataset",
+)
+# columns of the diagnostics table, in order
+DIAGNOSTICS_COLUMNS = (
+    "run_tag", "deploy_id", "model_name", "profile", "dataset", "threshold", "positive_label", "negative_label",
+    "accuracy", "recall", "precision", "f2", "roc_auc", "average_precision",
+)
+# messages of the row validation
+MISSING_FEATURE = "Missing required feature: {name}"
+MISSING_VALUE = "{name}: value is required"
+NOT_NUMERIC = "{name}: expected numeric value, got "
+OUT_OF_RANGE = " is {side} {bound:g}"
+BELOW, ABOVE = "below minimum", "above maximum"
+
 # --- end of fixed values -----------------------------------------------------
 
 RENAME_A = {a: name for a, _, name in SURVEY_COLUMNS}

@@ -101,7 +101,7 @@ def raw_profile(profile: str, available) -> str:
     for raw, display in C.PROFILE_DISPLAY.items():
         if display == profile and raw in available:
             return raw
-    raise KeyError(f"Profile '{profile}' not found. Available raw profiles: {', '.join(sorted(available))}")
+    raise KeyError(f"none of {sorted(available)} is shown as {profile}")
 
 
 def importance_metric(profile: str) -> str:

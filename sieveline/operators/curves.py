@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.exprs import ratio
 from sieveline.operators.ordering import running_totals
+from sieveline.operators.thresholds import known_score
 
 
 def cumulative_counts(
     scored: DataFrame, *, keys: Sequence[str] = (), score: str = "score", label: str = "label",
     digits: int | None = None,
 ) -> DataFrame:
-    """Positives and negatives at every distinct score, at or above it, and in total.
+    """Positives and negatives at every distinct score, at or above it, and in total, over the
+    rows that have a score (NaN is none).
 
     `digits` first rounds scores to cells, which bounds the number of points.
     """
-    s = F.col(score).cast("double")
+    s = known_score(F.col(score))
+    rows = scored.where(s.isNotNull())
     s = F.round(s, digits) if digits is not None else s
-    rows = scored.where(F.col(score).isNotNull()).select(*keys, s.alias(score), F.col(label).alias("__y"))
+    rows = rows.select(*keys, s.alias(score), F.col(label).alias("__y"))
     counts = {"pos": F.count_if(F.col("__y") == 1), "neg": F.count_if(F.col("__y") == 0)}
     return running_totals(rows, keys=keys, order=score, sums=counts, descending=True)
 

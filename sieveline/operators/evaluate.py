@@ -15,11 +15,6 @@ from sieveline.operators.curves import ranking_metrics
 from sieveline.operators.thresholds import decide
 from sieveline.session import small
 
-COMPARISON_COLUMNS = (
-    "model", "profile", "threshold", "recall", "precision", "f2", "pr_auc", "tn", "fp", "fn", "tp", "dataset",
-)
-
-
 def confusion(scored: DataFrame, *, keys: Sequence[str], label: str = "label", predicted: str = "prediction"):
     """tn, fp, fn, tp per key in one aggregate (A1)."""
     return scored.groupBy(*keys).agg(*M.confusion_aggs(F.col(label), F.col(predicted)))
@@ -97,12 +92,12 @@ def evaluation_grid(
         ranked = scored
     areas = ranking_metrics(ranked, keys=["model", "dataset"], score=score, label=label, digits=digits)
     table = with_metrics(counts).join(areas, ["model", "dataset"], "left")
-    return table.withColumnRenamed("average_precision", "pr_auc").select(*COMPARISON_COLUMNS)
+    return table.withColumnRenamed("average_precision", "pr_auc").select(*C.COMPARISON_COLUMNS)
 
 
 def comparison_table(grid: DataFrame) -> DataFrame:
     """The 12 display columns by dataset, profile and falling F2."""
-    return grid.select(*COMPARISON_COLUMNS).orderBy("dataset", "profile", F.desc("f2"), "model")
+    return grid.select(*C.COMPARISON_COLUMNS).orderBy("dataset", "profile", F.desc("f2"), "model")
 
 
 def diagnostics(
@@ -128,12 +123,7 @@ def diagnostics(
     areas = areas.withColumnRenamed("model", "model_name")
     return (
         counts.join(areas, ["model_name", "dataset"], "left")
-        .select(
-            F.lit(run_tag).alias("run_tag"),
-            "deploy_id", "model_name", "profile", "dataset", "threshold",
-            F.lit(positive).alias("positive_label"),
-            F.lit(negative).alias("negative_label"),
-            "accuracy", "recall", "precision", "f2", "roc_auc", "average_precision",
-        )
+        .withColumns({"run_tag": F.lit(run_tag), "positive_label": F.lit(positive), "negative_label": F.lit(negative)})
+        .select(*C.DIAGNOSTICS_COLUMNS)
         .orderBy("deploy_id", "dataset")
     )

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from sieveline import config as C
 from sieveline.models.families import positive_score
-from sieveline.operators.thresholds import binary_labels, decide
+from sieveline.operators.thresholds import decide, label_pair
 from sieveline.operators.validate import require_valid, validate_rows
 
 
 def deployment(deployments: Mapping[str, Mapping], deploy_id: str) -> Mapping:
-    if deploy_id not in deployments:
-        raise KeyError(f"Unknown deploy_id {deploy_id!r}. Available: {', '.join(sorted(deployments))}")
-    return deployments[deploy_id]
+    try:
+        return deployments[deploy_id]
+    except KeyError:
+        raise KeyError(f"{deploy_id} is not among the deployments {sorted(deployments)}") from None
 
 
 def predict(
@@ -36,7 +37,7 @@ def predict(
     first with `validate_rows` and `split_valid` where they are expected.
     """
     spec = deployment(deployments, deploy_id)
-    positive, negative = binary_labels(classes)
+    positive, negative = label_pair(classes)
     rows = df.select(key, *features)
     if validate:
         rows = require_valid(validate_rows(rows, features=features, intervals=intervals))

@@ -14,19 +14,26 @@ from sieveline.session import small
 TIE_DIGITS = 12
 
 
+def known_score(score: Column) -> Column:
+    """The score as a double, NULL for NaN."""
+    return F.nanvl(score.cast("double"), F.lit(None).cast("double"))
+
+
 def decide(score: Column, threshold: Column | float, positive=1, negative=0) -> Column:
-    """Positive label where the score reaches the threshold, inclusive."""
+    """Positive label where the score reaches the threshold, inclusive (E9, M12); no label (NULL)
+    without a score, NaN included, so that counts and curves leave out the same rows."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return F.when(score >= t, F.lit(positive)).otherwise(F.lit(negative))
+    s = known_score(score)
+    return F.when(s >= t, F.lit(positive)).when(s < t, F.lit(negative))
 
 
-def binary_labels(classes: Sequence) -> tuple:
-    """(positive, negative) of a two-class label list: 1 if present, else the last class."""
-    classes = list(classes)
-    if len(classes) != 2:
-        raise ValueError(f"Expected binary classes, got {classes!r}")
-    positive = 1 if 1 in classes else classes[-1]
-    return positive, next(c for c in classes if c != positive)
+def label_pair(labels: Sequence) -> tuple:
+    """(positive, negative) of the two labels a decision can give, listed negative first; a first
+    label of 1 is the positive one all the same."""
+    if len(labels) != 2:
+        raise ValueError(f"a decision is between two labels, but {len(labels)} are given")
+    first, second = labels
+    return (first, second) if first == 1 else (second, first)
 
 
 def _grid_value(lo: Column, hi: Column, j: Column, n: int) -> Column:
@@ -41,13 +48,15 @@ def threshold_counts(
     score: str = "score",
     label: str = "label",
 ) -> DataFrame:
-    """(keys, idx, threshold, tn, fp, fn, tp) for a prediction of `score >= threshold`.
+    """(keys, idx, threshold, tn, fp, fn, tp) for a prediction of `score >= threshold`, over the
+    rows that have a score.
 
     Every score falls into one grid cell; counts at a threshold are suffix sums over at most
     `thresholds` cells. Work is one pass over the rows, whatever the grid size.
     """
     keys = list(keys)
-    s = F.col(score).cast("double")
+    s = known_score(F.col(score))
+    scored = scored.where(s.isNotNull())
     if isinstance(thresholds, int):
         n = thresholds
         bounds = small(

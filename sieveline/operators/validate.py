@@ -46,7 +46,7 @@ def validate_rows(
     checks, cleaned = [], {}
     for name in features:
         if name not in df.columns:
-            checks.append(F.lit(f"Missing required feature: {name}"))
+            checks.append(F.lit(C.MISSING_FEATURE.format(name=name)))
             continue
         raw = F.col(name)
         kind = df.schema[name].dataType
@@ -55,24 +55,24 @@ def validate_rows(
         else:
             parsed = raw.cast("double")
         cleaned[name] = parsed
-        checks.append(F.when(raw.isNull(), F.lit(f"{name}: value is required")))
+        checks.append(F.when(raw.isNull(), F.lit(C.MISSING_VALUE.format(name=name))))
         if isinstance(kind, T.StringType):
             checks.append(
                 F.when(
                     raw.isNotNull() & parsed.isNull(),
-                    F.concat(F.lit(f"{name}: expected numeric value, got "), _quoted(raw)),
+                    F.concat(F.lit(C.NOT_NUMERIC.format(name=name)), _quoted(raw)),
                 )
             )
         lower, upper = intervals.get(name, (None, None))
         for bound, side, broken in (
-            (lower, "below minimum", lambda v, b: v < b),
-            (upper, "above maximum", lambda v, b: v > b),
+            (lower, C.BELOW, lambda v, b: v < b),
+            (upper, C.ABOVE, lambda v, b: v > b),
         ):
             if bound is not None:
                 checks.append(
                     F.when(
                         is_finite(parsed) & broken(parsed, F.lit(float(bound))),
-                        F.concat(F.lit(f"{name}: "), general_format(parsed), F.lit(f" is {side} {bound:g}")),
+                        F.concat(F.lit(f"{name}: "), general_format(parsed), F.lit(C.OUT_OF_RANGE.format(side=side, bound=bound))),
                     )
                 )
     kept = [cleaned[c].alias(c) if c in cleaned else F.col(c) for c in df.columns]

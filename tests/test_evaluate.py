@@ -134,9 +134,10 @@ def test_decision_is_inclusive_and_labels_resolve(spark):
     assert df.select(thresholds.decide(F.col("p"), 0.5)).first()[0] == 1
     assert df.select(thresholds.decide(F.col("p"), 0.8)).first()[0] == 0
     assert df.select(thresholds.decide(F.col("p"), 0.7)).first()[0] == 1
-    assert thresholds.binary_labels([0, 1]) == (1, 0) and thresholds.binary_labels(["a", "b"]) == ("b", "a")
+    assert thresholds.label_pair([0, 1]) == (1, 0) and thresholds.label_pair(["a", "b"]) == ("b", "a")
+    assert thresholds.label_pair([1, 0]) == (1, 0)
     with pytest.raises(ValueError):
-        thresholds.binary_labels([0, 1, 2])
+        thresholds.label_pair([0, 1, 2])
 
 
 def test_confusion_shares(spark):
@@ -160,7 +161,7 @@ def test_evaluation_to_manifest(spark):
             assert rows[p, C.SET_AB][c] == rows[p, C.SET_A][c] + rows[p, C.SET_B][c]
         assert rows[p, C.SET_AB]["pr_auc"] == pytest.approx(step_ap(y, s))  # on the union, not averaged
     shown = evaluate.comparison_table(grid)
-    assert shown.columns == list(evaluate.COMPARISON_COLUMNS)
+    assert shown.columns == list(C.COMPARISON_COLUMNS)
     keys = [(r["dataset"], r["profile"]) for r in shown.collect()]
     assert keys == sorted(keys)
 

@@ -65,7 +65,7 @@ def test_every_family_fits_saves_and_scores(spark, rows, tmp_path, name):
     for r in got.collect():
         assert r["prediction"] == int(r["probability_positive"] >= 0.4)
         assert r["margin"] == pytest.approx(r["probability_positive"] - 0.4)
-    with pytest.raises(KeyError, match="Available: d"):
+    with pytest.raises(KeyError, match="not among the deployments"):
         score.predict(test, deployed, deploy_id="x", key="row_id", features=SPEC.features)
 
 
@@ -128,7 +128,7 @@ def test_search_to_deployment(spark, rows, tmp_path):
     path = artifacts.save_bundle(found.models, manifest, str(tmp_path / "b"))
     deployed, registry = artifacts.load_bundle(spark, path)
     assert list(deployed) == ["deploy_f2"] and registry.count() == 1
-    assert artifacts.deployment_signature(deployed) == artifacts.deployment_signature(artifacts.load_bundle(spark, path)[0])
+    assert artifacts.deployments_signature(deployed) == artifacts.deployments_signature(artifacts.load_bundle(spark, path)[0])
 
     spec = deployed["deploy_f2"]
     run = lambda n: artifacts.importance_run(
@@ -140,7 +140,7 @@ def test_search_to_deployment(spark, rows, tmp_path):
     assert len(imp) == 4 and {r["scoring"] for r in imp} == {"f2"} and not reused
     row = meta.first()
     assert (row["run_tag"], row["n_repeats"], row["n_rows"]) == ("v1", 3, 4)
-    assert list(row["datasets"]) == [C.SET_B, C.SET_A] and len(row["deployment_signature"]) == 64
+    assert list(row["datasets"]) == [C.SET_B, C.SET_A] and len(row["deployments"]) == 64
     assert run(3)[2] and not run(2)[2]
 
     parts = explain.explain(
