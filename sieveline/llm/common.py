@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.session import scratch_path
+from sieveline.session import scratch_path, ship_package
 
 #: Separators of words, as a Java character class (fixed values).
 BLANKS = r"[\x20\x09-\x0D]"
@@ -27,6 +27,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        ship_package(spark)
 
     def write(self, df: DataFrame, name: str) -> tuple[DataFrame, str]:
         path = scratch_path(self.spark, name)

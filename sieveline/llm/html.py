@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 
 from sieveline.llm.html_examples import PAGES
-from sieveline.session import local_frame
+from sieveline.session import local_frame, ship_package
 
 # Fixed values of HTML: elements that end a block of text, whose content is not text, that are empty.
 _BLOCKS = frozenset(
@@ -194,6 +194,7 @@ def extract(pages: DataFrame, tree=None) -> DataFrame:
     without main text. n_chars counts its code points. Pages stay where they are read; the tree is
     a few hundred numbers.
     """
+    ship_package(pages.sparkSession)
     tree = fit_tree(labelled_blocks(pages.sparkSession)) if tree is None else tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.session import ship_package
+
 # Phrases that give a base label wherever their words stand next to each other.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -201,6 +203,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     the runs that templates accept, and labels names both kinds. score is 1 with a template match,
     0.5 with base phrases alone, else 0. Each text is read once; no words leave the task.
     """
+    ship_package(docs.sparkSession)
     compiled = [compile_template(*t) for t in (TEMPLATES if templates is None else templates).items()]
     phrases = [(b" " + p.encode() + b" ", label) for p, label in PHRASES.items()]
     types = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from sieveline.llm.tokens import encoder
 from sieveline.llm.wavelet import in_order
+from sieveline.session import ship_package
 
 #: Prices of a cut, in padded places.
 SENTENCE_CUT = 4.0
@@ -149,4 +150,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, block_i
         if held:
             yield solve(True)
 
+    ship_package(docs.sparkSession)
     return in_order(docs).mapInArrow(run, PIECES)

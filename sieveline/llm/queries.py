@@ -37,7 +37,60 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-@_query("op2_quality_rules")
+def _quality_sql() -> str:
+    """The base counts, the risk-controlled choice of cutoffs and the verdict, for DuckDB."""
+    control = quality.RiskControl()
+    limit = control.max_false_rejection / len(quality.CUTOFFS)
+    cells = ", ".join(f"('{r}', {i}, {c})" for r, cuts in quality.CUTOFFS.items() for i, c in enumerate(cuts))
+    share = "CASE rule " + " ".join(f"WHEN '{r}' THEN {r}" for r in quality.CUTOFFS) + " END"
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '?') AS stratum, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+win AS (SELECT rid, i, w[i:i + 4] AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM win),
+rep AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice WHERE n > 1) GROUP BY rid),
+m AS (
+  SELECT rid, doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
+         len(l) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_echoes,
+         len(regexp_extract_all(t, '[A-Z]')) AS n_capitals, len(regexp_extract_all(t, '[A-Za-z]')) AS n_letters
+  FROM d LEFT JOIN rep USING (rid)),
+f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+         coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbol_share, coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS repeat_share,
+         coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS dup_line_share, coalesce(n_echoes / nullif(n_words, 0), 0.0) AS echo_share,
+         coalesce(n_capitals / nullif(n_letters, 0), 0.0) AS capital_share
+  FROM m),
+truth AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IN (0, 1) GROUP BY doc_id),
+held AS (SELECT f.*, quality FROM f JOIN truth USING (doc_id) WHERE NOT base_failed),
+cells(rule, step, cutoff) AS (VALUES {cells}),
+counts AS (
+  SELECT stratum, rule, step, cutoff, count(*) FILTER (WHERE quality = 1) AS n, count(*) FILTER (WHERE quality = 1 AND x > cutoff) AS lost,
+         count(*) FILTER (WHERE quality = 0 AND x > cutoff) AS caught
+  FROM (SELECT held.*, rule, step, cutoff, {share} AS x FROM held, cells) GROUP BY ALL),
+tested AS (
+  SELECT *, CASE WHEN lost > n * {limit} THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(0, lost + 1), lambda i:
+           exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({limit}) + (n - i) * ln(1 - {limit}))))) END AS p_value
+  FROM counts),
+open AS (
+  SELECT *, min(CASE WHEN p_value <= {control.level} / (strata * {len(quality.CUTOFFS)}) THEN 1 ELSE 0 END)
+              OVER (PARTITION BY stratum, rule ORDER BY step) AS admissible
+  FROM tested, (SELECT count(DISTINCT stratum) AS strata FROM held)),
+best AS (
+  SELECT stratum, rule, arg_max(cutoff, (caught - {control.good_cost} * lost) * 1000 - step) AS cutoff
+  FROM open WHERE admissible = 1 AND caught - {control.good_cost} * lost > 0 GROUP BY stratum, rule),
+rejected AS (SELECT DISTINCT rid FROM (SELECT rid, cutoff, {share} AS x FROM f JOIN best USING (stratum)) WHERE x > cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND rid NOT IN (SELECT rid FROM rejected) AS kept
+FROM f"""
+
+
+@_query("op2_quality_rules", _quality_sql())
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured, cutoffs = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sieveline.llm.common import Scratch
 from sieveline.llm.tokens import encoder
+from sieveline.session import ship_package
 
 MAGIC = b"WVMX\x01"
 BLOCK_BITS = 512
@@ -213,6 +214,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
         if ids:
             yield shard(enc, seq, ids, doc_ids)
 
+    ship_package(docs.sparkSession)
     shards = in_order(docs).mapInArrow(run, "part long, seq long, n_ids long, n_docs long, data binary")
     shards.write.option("maxRecordsPerFile", 1).parquet(path)
 
