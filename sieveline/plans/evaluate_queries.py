@@ -398,7 +398,7 @@ def score_threshold(spark, sf):
     )
 
 
-REPEATS = 5
+REPEATS = 20
 
 
 def _step_sql(n, repeat):
@@ -464,7 +464,7 @@ def _importance_sql():
         + " FROM par JOIN ids ON ids.dataset = par.dataset AND ids.idx = par.donor)",
         f"imp0 AS ({' UNION ALL '.join(parts)})",
         """imp AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY deploy_id, dataset ORDER BY importance_mean DESC) AS INTEGER) AS importance_rank,
-                   CAST(5 AS INTEGER) AS n_repeats FROM (SELECT deploy_id, model_name, profile, threshold, dataset, feature, scoring,
+                   CAST(20 AS INTEGER) AS n_repeats FROM (SELECT deploy_id, model_name, profile, threshold, dataset, feature, scoring,
                       round(importance_mean, 9) AS importance_mean, round(importance_std, 9) AS importance_std FROM imp0))""",
     )
 
