@@ -29,21 +29,21 @@ class _KnnParams(Params):
 class _Writer(DefaultParamsWriter):
     def saveImpl(self, path):
         super().saveImpl(path)
-        self.instance.training().write.parquet(f"{path}/train")
+        self.instance.index().save(f"{path}/index")
 
 
 class _Reader(DefaultParamsReader):
     def load(self, path):
-        return super().load(path)._set(trainPath=f"{path}/train")
+        return super().load(path)._set(indexPath=f"{path}/index")
 
 
 class KnnModel(Model, _KnnParams, MLReadable, MLWritable):
-    """Holds the path of its training table; saving copies the table next to the model."""
+    """Holds the path of its index; saving copies the index next to the model."""
 
-    trainPath = Param(Params._dummy(), "trainPath", "training table", TypeConverters.toString)
+    indexPath = Param(Params._dummy(), "indexPath", "index over the training rows", TypeConverters.toString)
 
-    def training(self):
-        return SparkSession.getActiveSession().read.parquet(self.getOrDefault("trainPath"))
+    def index(self) -> neighbors.Index:
+        return neighbors.Index.load(SparkSession.getActiveSession(), self.getOrDefault("indexPath"))
 
     def write(self):
         return _Writer(self)
@@ -56,9 +56,7 @@ class KnnModel(Model, _KnnParams, MLReadable, MLWritable):
         get = self.getOrDefault
         key = get("idCol")
         asked = df.select(F.col(key), vector_to_array(get("featuresCol")).alias("v"))
-        found = neighbors.nearest(
-            asked, self.training(), k=get("k"), query_id=key, train_id="t_key", vector="v", payload=["y"]
-        )
+        found = neighbors.search(asked, self.index(), k=get("k"), query_id=key, vector="v")
         p = neighbors.vote(found, query_id=key, label="y", weights=get("weights"), out="__p")
         s = F.col("__p")
         return (
@@ -70,7 +68,7 @@ class KnnModel(Model, _KnnParams, MLReadable, MLWritable):
 
 
 class KnnClassifier(Estimator, _KnnParams):
-    """Fitting stores the training rows as a table in the shared folder."""
+    """Fitting builds the index over the training rows once, in the shared folder."""
 
     @keyword_only
     def __init__(self, *, k=5, weights="uniform", idCol="row_id", featuresCol="features", labelCol="label"):
@@ -79,11 +77,12 @@ class KnnClassifier(Estimator, _KnnParams):
 
     def _fit(self, df):
         get = self.getOrDefault
-        path = scratch_path(df.sparkSession, "knn-train")
-        df.select(
+        path = scratch_path(df.sparkSession, "knn-index")
+        rows = df.select(
             F.col(get("idCol")).alias("t_key"),
             vector_to_array(get("featuresCol")).alias("v"),
             F.col(get("labelCol")).cast("int").alias("y"),
-        ).write.parquet(path)
+        )
+        neighbors.build_index(rows, want=get("k"), train_id="t_key", vector="v", payload=["y"]).save(path)
         copied = {n: get(n) for n in ("k", "weights", "idCol", "featuresCol", "labelCol")}
-        return KnnModel()._set(trainPath=path, **copied)
+        return KnnModel()._set(indexPath=path, **copied)

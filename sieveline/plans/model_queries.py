@@ -148,10 +148,10 @@ def stream_knn(spark, sf):
     train = vectors.where("vec_id % 3 <> 0")
     stream = flows.file_stream(spark, sf, spark.read.parquet(f"{sf}/embeddings.parquet").schema, name="embeddings.parquet")
 
+    index = neighbors.build_index(train, want=5, train_id="vec_id", vector="embedding", payload=["y"])
+
     def score(batch):
-        found = neighbors.nearest(
-            batch, train, k=5, query_id="vec_id", train_id="vec_id", vector="embedding", payload=["y"]
-        )
+        found = neighbors.search(batch, index, k=5, query_id="vec_id", vector="embedding")
         voted = neighbors.vote(found, query_id="vec_id", label="y")
         return voted.select("vec_id", (F.round("score", 6)).alias("score"))
 

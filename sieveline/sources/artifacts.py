@@ -50,7 +50,7 @@ def read_artifact(spark: SparkSession, root: str, table: str, *, run_tag: str =
 
 
 #: Parameters that say where a fitted model keeps its data, not what it is.
-LOCATIONS = frozenset({"trainPath"})
+LOCATIONS = frozenset({"indexPath"})
 
 
 def facts(config, at: str = "") -> list[str]:
