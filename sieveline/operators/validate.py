@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from sieveline import config as C
 from sieveline.functions.exprs import is_finite
 
-_FLOAT_TEXT = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
+_DIGITS = r"\d(_?\d)*"  # digits may be grouped, as in 1_000
+_FLOAT_TEXT = rf"(?i)^\s*[+-]?(({_DIGITS}\.?({_DIGITS})?|\.{_DIGITS})(e[+-]?{_DIGITS})?|inf|infinity|nan)\s*$"
 
 
 def general_format(x: Column) -> Column:
@@ -51,7 +52,7 @@ def validate_rows(
         raw = F.col(name)
         kind = df.schema[name].dataType
         if isinstance(kind, T.StringType):
-            parsed = F.when(raw.rlike(_FLOAT_TEXT), F.trim(raw).try_cast("double"))
+            parsed = F.when(raw.rlike(_FLOAT_TEXT), F.replace(F.trim(raw), F.lit("_")).try_cast("double"))
         else:
             parsed = raw.cast("double")
         cleaned[name] = parsed

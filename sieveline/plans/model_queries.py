@@ -65,10 +65,9 @@ def candidate_scores(spark, sf):
 @query("explain_model")
 def explain_model(spark, sf):
     """X8 on a fitted logistic model: prediction and attribution of every candidate."""
-    deployed = _fitted_logreg(spark, sf)["deploy_f2"]
-    return explain.explain(
-        T.survey_a(spark, sf)[1], T.survey_a(spark, sf)[0], model=deployed["model"], key="row_id",
-        features=T.FEATURES_A, threshold=deployed["threshold"],
+    return explain.explain_deployment(
+        T.survey_a(spark, sf)[1], T.survey_a(spark, sf)[0], _fitted_logreg(spark, sf), deploy_id="deploy_f2",
+        key="row_id", features=T.FEATURES_A,
     )
 
 

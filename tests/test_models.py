@@ -143,6 +143,14 @@ def test_search_to_deployment(spark, rows, tmp_path):
     assert list(row["datasets"]) == [C.SET_B, C.SET_A] and len(row["deployments"]) == 64
     assert run(3)[2] and not run(2)[2]
 
+    told = explain.explain_deployment(
+        rows.where("row_id = 'r1'"), rows, deployed, deploy_id="deploy_f2", key="row_id", features=SPEC.features,
+        classes=("no", "yes"), n_samples=20, max_background=8,
+    ).first()
+    assert (told["deploy_id"], told["model_name"], told["profile"], told["explainer"]) == ("deploy_f2", "rf", "f2", "sampled")
+    assert (told["positive_label"], told["negative_label"]) == ("yes", "no") and told["prediction"] in ("yes", "no")
+    with pytest.raises(KeyError, match="not among the deployments"):
+        explain.explain_deployment(rows, rows, deployed, deploy_id="x", key="row_id", features=SPEC.features)
     parts = explain.explain(
         rows.where("row_id in ('r1', 'r2')"), rows, model=spec["model"], key="row_id", features=SPEC.features,
         threshold=spec["threshold"], n_samples=20, max_background=8,

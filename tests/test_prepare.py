@@ -293,3 +293,9 @@ def test_defaults(spark):
     df = spark.createDataFrame([(None, None, None, None), (1.0, 2.0, 3.0, 4.0)], "a double, b double, c double, d double")
     got = validate.fill_defaults(df, features="abcd", intervals={"a": (0.0, 2.0), "b": (3.0, None), "c": (None, 9.0)}).collect()
     assert sorted(map(tuple, got)) == [(1.0, 2.0, 3.0, 4.0), (1.0, 3.0, 9.0, 0.0)]
+
+
+def test_grouped_digits_are_numbers(spark):
+    df = spark.createDataFrame([("1_000",), ("1__0",), ("_1",), ("1_0.5e1_0",), ("1_",)], "x string")
+    rows = [(r["x"], len(r["errors"])) for r in validate.validate_rows(df, features=["x"], intervals={}).collect()]
+    assert rows == [(1000.0, 0), (None, 1), (None, 1), (10.5e10, 0), (None, 1)]
