@@ -35,7 +35,7 @@ from sieveline.session import scratch_path
 #: Counts up to this are discounted (Katz's k).
 DISCOUNTED = 5
 #: Text after which a chunk is closed (a longer text makes a chunk of its own).
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 #: A word with over 1/HOT_SHARE of its bucket's tokens spreads its bigrams over all buckets.
 HOT_SHARE = 4
 #: The token after the last word; no word can be spelled like it.
