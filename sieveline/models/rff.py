@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark import keyword_only
@@ -34,12 +36,15 @@ class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWri
         gamma, width, seed = (self.getOrDefault(n) for n in ("gamma", "numFeatures", "seed"))
 
         @F.pandas_udf("array<double>")
-        def project(vectors: pd.Series) -> pd.Series:
-            x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-            rng = np.random.default_rng(seed)
-            w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(x.shape[1], width))
-            b = rng.uniform(0.0, 2.0 * np.pi, size=width)
-            return pd.Series(list(np.sqrt(2.0 / width) * np.cos(x @ w + b)))
+        def project(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            w = None  # drawn once a task
+            for vectors in batches:
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+                if w is None:
+                    rng = np.random.default_rng(seed)
+                    w = rng.normal(0.0, np.sqrt(2.0 * gamma), size=(x.shape[1], width))
+                    b = rng.uniform(0.0, 2.0 * np.pi, size=width)
+                yield pd.Series(list(np.sqrt(2.0 / width) * np.cos(x @ w + b)))
 
         return df.withColumn(
             self.getOrDefault("outputCol"), array_to_vector(project(vector_to_array(self.getOrDefault("inputCol"))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sieveline.config import FeatureSpec
 from sieveline.operators import harmonize as H
+from sieveline.session import BROADCAST_ROWS
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,4 +142,7 @@ def scored_long(df: DataFrame, keep=()) -> DataFrame:
 
 def fixed_small(df: DataFrame) -> DataFrame:
     """Materialise a summary of a few rows (tuned thresholds) so that later steps reuse it."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+    table = df.limit(BROADCAST_ROWS + 1).toArrow()
+    if table.num_rows > BROADCAST_ROWS:
+        raise ValueError(f"a summary of over {BROADCAST_ROWS} rows is not small")
+    return df.sparkSession.createDataFrame(table, df.schema)

@@ -106,12 +106,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast `df` if it holds at most `limit` rows, else hand it back for a shuffle join."""
+    """Broadcast `df` if it holds at most `limit` rows and BROADCAST_BYTES, else hand it back for a
+    shuffle join."""
     table = df.limit(limit + 1).toArrow()
-    if table.num_rows > limit:
+    if table.num_rows > limit or table.nbytes > BROADCAST_BYTES:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
 
