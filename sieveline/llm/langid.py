@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import Scratch
+from sieveline.session import small
 
 ORDER = 4
 #: Labelled documents that are counted, and as many that calibrate, per language (in expectation:
@@ -308,7 +309,8 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Identifier:
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2.0 * sample_docs) / F.count(F.lit(1))).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit(77)), F.lit(1 << 30)) / float(1 << 30)
-    taken = rows.join(share, "lang").withColumn("draw", draw).where("draw < share")
+    # one row per language; `small` broadcasts it only if there are few, so that texts stay in place
+    taken = rows.join(small(share), "lang").withColumn("draw", draw).where("draw < share")
     taken = taken.select("doc_id", "text", "lang", (F.col("draw") < F.col("share") / 2).alias("counted"))
     taken, path = scratch.write(taken, "langid-sample")  # both halves of a bounded sample
     counts: dict[str, dict[str, int]] = defaultdict(dict)
