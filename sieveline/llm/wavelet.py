@@ -81,9 +81,9 @@ class WaveletMatrix:
         for level in range(levels - 1, -1, -1):
             bits = ((ids >> level) & 1).astype(bool)
             planes.append(Plane.of(bits))
-            low = ids[~bits]
+            low, high = np.flatnonzero(~bits), np.flatnonzero(bits)
             zeros.append(len(low))
-            ids = np.concatenate([low, ids[bits]])
+            ids = np.concatenate([ids.take(low), ids.take(high)])
         return cls(planes, zeros, n)
 
     def access(self, at) -> np.ndarray:
@@ -130,8 +130,8 @@ class WaveletMatrix:
         for level, (plane, zeros) in enumerate(zip(reversed(self.planes), reversed(self.zeros))):
             bits = plane.bits()
             above = np.empty_like(ids)
-            above[~bits] = ids[:zeros]
-            above[bits] = ids[zeros:] | ids.dtype.type(1 << level)
+            above[np.flatnonzero(~bits)] = ids[:zeros]
+            above[np.flatnonzero(bits)] = ids[zeros:] | ids.dtype.type(1 << level)
             ids = above
         return ids
 
