@@ -143,9 +143,10 @@ def links(fps: DataFrame, scratch: Scratch, max_bits: int = 2, segments: int = 2
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, segments: int = 2) -> DataFrame:
-    """(doc_id, text_key, fp, component_id) for every row of `docs` (doc_id, text, others unused).
+    """(doc_id, text_key, fp, component_id, component) for every row of `docs` (doc_id, text, others unused).
 
-    component_id is the least doc_id reachable over links. Null, empty and blank texts have
+    component_id is the least doc_id reachable over links, component a fingerprint of the component
+    that no other has, also where ids are null or repeated. Null, empty and blank texts have
     fingerprint 0 and are linked like any other. Equal fingerprints are one node, so copies never
     form pairs. A component whose ids are all null has a null component_id. No rows: no rows.
     """
@@ -156,28 +157,29 @@ def near_duplicates(docs: DataFrame, width: int = 3, max_bits: int = 2, segments
     labels = components(linked, scratch).withColumnRenamed("node", "fp")
     joined = classes.join(labels, "fp")
     firsts = joined.groupBy("label").agg(F.min("first").alias("component_id"))
-    merged = joined.join(firsts, "label").select("fp", "component_id")
+    merged = joined.join(firsts, "label").select("fp", "component_id", "label")
     of_class = classes.join(merged, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id")
+        "fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("label", "fp").alias("component")
     )
     of_class, _ = scratch.write(of_class, "of_class")
-    return prints.join(of_class, "fp").select("doc_id", "text_key", "fp", "component_id")
+    return prints.join(of_class, "fp").select("doc_id", "text_key", "fp", "component_id", "component")
 
 
 def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2, segments: int = 2) -> DataFrame:
-    """The rows of `docs` whose doc_id is the least of their component, with all columns.
+    """One row of `docs` per component, one with the component's least doc_id, with all columns.
 
-    Of repeated rows of that id one stays; rows without an id have no place in that order and go
-    unless all rows of the component have none (then one stays).
+    Of several texts of that id the one with the least text_key stays, of its repeated rows one.
+    Rows without an id have no place in that order and go unless all rows of the component have
+    none. An id stays once per component that it is the least of.
     """
     found = near_duplicates(docs, width, max_bits, segments)
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    kept = found.where(first).groupBy("component_id", "text_key").count()
-    kept = kept.groupBy("component_id").agg(F.min(F.struct("text_key", "count")).alias("k"))
+    kept = found.where(first).groupBy("component", "component_id", "text_key").count()
+    kept = kept.groupBy("component", "component_id").agg(F.min(F.struct("text_key", "count")).alias("k"))
     kept = kept.select(F.col("component_id").alias("_id"), F.col("k.text_key").alias("_key"), F.col("k.count").alias("_n"))
     kept, _ = Scratch(docs.sparkSession).write(kept, "kept")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
     if kept.where("_n > 1").isEmpty():
         return docs.join(kept, same, "left_semi")
     alone = docs.join(kept.where("_n = 1"), same, "left_semi")
-    return alone.unionByName(docs.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id"]))
+    return alone.unionByName(docs.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -91,6 +91,15 @@ def test_edge_cases(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    apart = ["the quick brown fox jumps over a lazy dog", "seven ships sail slowly past the harbour wall", "never mix paint with cold water"]
+    rows = [(None, apart[0]), (None, apart[1]), (None, apart[1]), (7, apart[0] + " twice as high"), (7, apart[2]), (7, apart[2]), (9, apart[2])]
+    docs = local_frame(spark, rows, "doc_id long, text string")
+    assert len({plain_print(t) for _, t in rows}) == 4
+    kept = [tuple(r) for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted({(i, t) for i, t in rows if i != 9}, key=str)
+
+
 def test_components_on_a_chain_a_hub_and_loops(spark):
     chain = [(i, i + 1) for i in range(300)]
     hub = [(1000, 1000 + i) for i in range(1, 400)]
