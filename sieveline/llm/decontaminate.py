@@ -2,16 +2,17 @@
 
 Numbers, names and units of a text become typed placeholders, so that a question keeps its template
 when its values change. Windows of template tokens are hash-joined between documents and benchmark
-items. For each document and item the values that fill the placeholders are compared: one item value
-must stand for one document value throughout; windows that break this do not count. A document
-leaks an item if the windows that count cover enough of the item's.
+items. For each document and item the values that fill the placeholders are compared: in a copy of
+the item one item value must stand for one document value throughout; windows that break this do
+not count. A document leaks an item if the windows that count for one copy cover enough of the item's.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -110,13 +111,14 @@ def windows(hashes: np.ndarray, slots: np.ndarray, text: np.ndarray, width: int
     return mixed[at], at
 
 
-_WINDOWS = "window long, size long, slots array<string>"
+_WINDOWS = "window long, size long, places array<int>, slots array<array<string>>"
 
 
-def _found(keys: list[str], wanted, every: bool):
-    """Function over batches (keys, text): one row per window that is wanted (None: all).
+def _found(keys: list[str], wanted):
+    """Function over batches (keys, text): one row per distinct window of a text that is wanted (None: all).
 
-    With `every` equal windows of a text are one row, and size counts the distinct ones.
+    size counts these. A window with placeholders has, for each time it
+    stands in the text, the place of its first token and the values; others have neither.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,21 +128,26 @@ def _found(keys: list[str], wanted, every: bool):
             texts = [t or b"" for t in batch.column(len(keys)).to_pylist()]
             hashes, slots, text, raw = canonical.tokens(texts)
             found, at = windows(hashes, slots, text)
-            if every:
-                order = np.lexsort((at, found, text[at]))
-                new = np.ones(len(order), bool)
-                new[1:] = (found[order][1:] != found[order][:-1]) | (text[at[order]][1:] != text[at[order]][:-1])
-                found, at = found[order[new]], at[order[new]]
-            total = np.bincount(text[at], minlength=len(texts))
             if known is not None:
                 hit = known[np.minimum(np.searchsorted(known, found), len(known) - 1)] == found if len(known) else np.zeros(len(found), bool)
                 found, at = found[hit], at[hit]
             if len(found):
+                order = np.lexsort((at, found, text[at]))
+                found, at = found[order], at[order]
                 rows = text[at]
-                values = [[_BODY.match(raw[i])[0].decode().lower() for i in range(start, start + WINDOW) if slots[i]] for start in at.tolist()]
-                columns = [batch.column(i).take(pa.array(rows)) for i in range(len(keys))]
-                columns += [pa.array(found.view(np.int64)), pa.array(total[rows]), pa.array(values, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "window", "size", "slots"])
+                new = np.nonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (rows[1:] != rows[:-1])]))[0]
+                total = np.bincount(rows[new], minlength=len(texts))
+                begins = np.searchsorted(text, rows)
+                places, values = [], []
+                for begin, end in zip(new.tolist(), [*new[1:].tolist(), len(at)]):
+                    some = slots[at[begin] : at[begin] + WINDOW].any()
+                    starts = at[begin:end].tolist() if some else []
+                    places.append((at[begin:end] - begins[begin]).tolist() if some else [])
+                    values.append([[_BODY.match(raw[i])[0].decode().lower() for i in range(start, start + WINDOW) if slots[i]] for start in starts])
+                columns = [batch.column(i).take(pa.array(rows[new])) for i in range(len(keys))]
+                columns += [pa.array(found[new].view(np.int64)), pa.array(total[rows[new]])]
+                columns += [pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*keys, "window", "size", "places", "slots"])
 
     return run
 
@@ -158,23 +165,87 @@ def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Recor
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_key, window, size, slots): the distinct windows of each item, size of them in all.
+    """(item_id, item_key, window, size, places, slots): the distinct windows of each item, size of them in all.
 
     Items with a null id or text, and items without a window of enough plain words, have none.
     Of several rows of one id each distinct text counts on its own under the id.
     """
     rows = benchmark.where("item_id is not null").select("item_id", F.xxhash64("text").alias("item_key"), F.col("text").cast("binary").alias("text"))
     rows = rows.dropDuplicates(["item_id", "item_key"])
-    return rows.mapInArrow(_found(["item_id", "item_key"], None, True), "item_id long, item_key long, " + _WINDOWS)
+    return rows.mapInArrow(_found(["item_id", "item_key"], None), "item_id long, item_key long, " + _WINDOWS)
+
+
+def _covered(hits: list[dict]) -> tuple[int, bool]:
+    """(windows that count, whether a value differs) where the document covers an item best.
+
+    Windows that stand as far from their place in the item form one copy. Each copy says what an
+    item value stands for (where it does not, the nearest copy; of several values the most frequent
+    one), and the windows of the document that agree with it count. Verbatim values, and over the
+    whole document the most frequent ones, are tried as well. What one copy says does not depend on
+    others that stand farther away than its own parts, so these cannot lower the coverage.
+    """
+    plain, slotted = 0, []
+    copies: dict[str, dict[int, dict[str, int]]] = {}
+    overall: dict[str, dict[str, int]] = {}
+    shifts = set()
+    for hit in hits:
+        if not hit["item_slots"]:
+            plain += 1
+            continue
+        items, docs = [[tuple(v) for v in hit[k]] for k in ("item_slots", "slots")]
+        slotted.append((set(items), set(docs)))
+        for at, item in zip(hit["item_places"], items):
+            for place, doc in zip(hit["places"], docs):
+                shifts.add(place - at)
+                for a, b in zip(item, doc):
+                    counts = copies.setdefault(a, {}).setdefault(place - at, {})
+                    counts[b] = counts.get(b, 0) + 1
+        for item, doc in product(*slotted[-1]):
+            for a, b in zip(item, doc):
+                counts = overall.setdefault(a, {})
+                counts[b] = counts.get(b, 0) + 1
+
+    def top(counts: dict[str, int]) -> str:
+        return min(counts, key=lambda b: (-counts[b], len(b), b))
+
+    values = sorted(copies)
+    said = [(sorted(copies[a]), {shift: top(counts) for shift, counts in copies[a].items()}) for a in values]
+
+    def near(own: list[int], shift: int) -> int:
+        i = bisect_left(own, shift)
+        return min(own[max(0, i - 1) : i + 1], key=lambda x: abs(x - shift))
+
+    tries = {tuple(values), tuple(top(overall[a]) for a in values)}
+    tries |= {tuple(of[near(own, shift)] for own, of in said) for shift in shifts}
+    best = (-1, False)
+    for chosen in tries:
+        meant = dict(zip(values, chosen))
+        count, same = plain, True
+        for items, docs in slotted:
+            agreeing = [item for item in items if tuple(meant[a] for a in item) in docs]
+            count += bool(agreeing)
+            same &= all(meant[a] == a for item in agreeing for a in item)
+        best = max(best, (count, same))
+    return best[0], not best[1]
+
+
+_JUDGED = "doc_id long, text_key long, item_id long, item_key long, n_windows long, n_matched long, changed boolean"
+
+
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [_covered(hits.as_py()) for hits in batch.column(5)]
+        columns = [*batch.columns[:5], pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _JUDGED.split(", ")])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(doc_id, text_key, item_id, n_windows, n_matched, coverage, changed) of each leak.
 
-    n_matched counts the item's windows that are in the document with consistent values; coverage
-    is its share, at least `similarity`; changed says that some value differs from the item's (a
-    re-parameterised question). Null and empty texts leak nothing. Repeated rows with the same id
-    and text are one document.
+    n_matched counts the item's windows that are in the document with values consistent with one
+    copy of the item, the one that covers most; coverage is its share, at least `similarity`;
+    changed says that some value differs from the item's (a re-parameterised question). Null and
+    empty texts leak nothing. Repeated rows with the same id and text are one document.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -186,28 +257,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     if len(some) <= broadcast_windows:
         known = np.sort(some.to_numpy().astype(np.int64).view(np.uint64))
         wanted = spark.sparkContext.broadcast(known)
-    found = rows.mapInArrow(_found(["doc_id", "text_key"], wanted, False), "doc_id long, text_key long, " + _WINDOWS)
-    matched = found.select("doc_id", "text_key", "window", F.col("slots").alias("doc_slots")).join(
-        items.select("item_id", "item_key", "window", "size", "slots"), "window"
-    )
-    one = ["doc_id", "text_key", "item_id", "item_key"]
-    matched = matched.groupBy(*one, "size", "window", "slots", "doc_slots").agg(F.lit(1).alias("seen"))
-    pairs = F.transform("slots", lambda s, i: F.struct(s.alias("item"), F.get("doc_slots", i).alias("doc")))
-    matched = matched.withColumn("pairs", pairs)
-    # the document value that most windows give to an item value, the least of equals
-    filled = matched.where(F.size("slots") > 0).select(*one, F.explode("pairs").alias("p")).groupBy(*one, "p").count()
-    meant = filled.groupBy(*one, F.col("p.item").alias("item")).agg(
-        F.max_by("p.doc", F.struct("count", F.struct(-F.length("p.doc"), "p.doc"))).alias("doc")
-    )
-    meant = meant.groupBy(*one).agg(F.collect_set(F.struct("item", "doc")).alias("meant"))
-    same = [F.col(f"matched.{c}").eqNullSafe(F.col(f"meant.{c}")) for c in one]
-    slotted = matched.where(F.size("slots") > 0).alias("matched").join(meant.alias("meant"), same).select("matched.*", "meant.meant")
-    slotted = slotted.where(F.forall("pairs", lambda p: F.array_contains("meant", p))).drop("meant")
-    counted = matched.where(F.size("slots") == 0).unionByName(slotted)
-    result = counted.groupBy(*one, F.col("size").alias("n_windows")).agg(
-        F.countDistinct("window").alias("n_matched"),
-        F.max(F.exists("pairs", lambda p: p["item"] != p["doc"])).alias("changed"),
-    )
+    found = rows.mapInArrow(_found(["doc_id", "text_key"], wanted), "doc_id long, text_key long, " + _WINDOWS)
+    sought = items.select("item_id", "item_key", "window", F.col("size").alias("n_windows"), F.col("places").alias("item_places"), F.col("slots").alias("item_slots"))
+    matched = found.select("doc_id", "text_key", "window", "places", "slots").join(sought, "window")
+    hit = F.struct("window", "item_places", "item_slots", "places", "slots")
+    pairs = matched.groupBy("doc_id", "text_key", "item_id", "item_key", "n_windows").agg(F.collect_set(hit).alias("hits"))
+    result = pairs.where(F.size("hits") / F.col("n_windows") >= similarity).mapInArrow(_judged, _JUDGED)
     result = result.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= similarity)
     best = F.max_by(F.struct("n_windows", "n_matched", "coverage", "changed"), F.struct("coverage", "n_windows", "item_key")).alias("b")
     return result.groupBy("doc_id", "text_key", "item_id").agg(best).select("doc_id", "text_key", "item_id", "b.*")

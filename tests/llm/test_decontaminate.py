@@ -91,3 +91,19 @@ def test_long_and_repeated_texts(spark):
     docs = local_frame(spark, [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = decontaminate.leaks(docs, bench(spark, QUESTION, "1 2 3 4 5 6 7")).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1, 0)]
+
+
+def test_further_copies_do_not_lower_the_coverage(spark):
+    variant = QUESTION.replace("12 km", "45 kg").replace("many km", "many kg").replace("3 hours", "7 days").replace("Bob", "Dan").replace("Alice", "Carol")
+    third = QUESTION.replace("12 km", "8 miles").replace("many km", "many miles").replace("3 hours", "20 min").replace("Bob", "Zed").replace("Alice", "Abe")
+    mixed = QUESTION.replace("Bob walks 12 km", "Bob walks 99 kg")
+    edited = variant.replace("and then", "and right then")
+    texts = [QUESTION, variant, f"{QUESTION} {variant}", f"{variant} {QUESTION}", f"{variant} {third}", f"{third} some more words {variant} {third}",
+             edited, f"{third} {edited} {QUESTION}", mixed, " ".join(QUESTION.replace("12 km", f"{n} kg") for n in range(100, 160))]
+    docs = local_frame(spark, [(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.leaks(docs, bench(spark, QUESTION), similarity=0.1).collect()}
+    alone = {i: got[i]["n_matched"] for i in (0, 1, 6, 8)}
+    assert got.keys() == set(range(len(texts))) and alone[0] == got[0]["n_windows"] > alone[8]
+    assert got[2]["n_matched"] == got[3]["n_matched"] == alone[0] and not got[2]["changed"] and not got[3]["changed"]
+    assert got[4]["n_matched"] >= alone[1] and got[5]["n_matched"] >= alone[1] and got[4]["changed"]
+    assert got[7]["n_matched"] >= max(alone[0], alone[6]) and got[9]["n_matched"] >= alone[1] - 3
