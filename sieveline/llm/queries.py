@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, html, katz, langid, licenses, linededup, packing, pii, quality, simhash, wavelet
+from sieveline.llm import decontaminate, html, katz, langid, licenses, linededup, packing, pii, quality, simhash, variants, wavelet
 from sieveline.llm.common import Scratch, crc_remainder, table
 from sieveline.session import scratch_path
 
@@ -166,3 +166,9 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = linededup.keep_lines(docs, linededup.line_bitmaps(docs, Scratch(spark), min_docs=10, min_chars=1))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = variants.count_words(table(spark, sf_dir, "documents"), min_chars=7, min_n=2, typo_every=31)
+    return variants.group(words, Scratch(spark), ratio=10)
