@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import decontaminate, html, katz, langid, licenses, linededup, packing, pii, quality, simhash, variants, wavelet
+from sieveline.llm import decontaminate, html, katz, langid, licenses, linededup, packing, pii, quality, simhash, variants, wavelet, whitening
 from sieveline.llm.common import Scratch, crc_remainder, table
 from sieveline.session import scratch_path
 
@@ -172,3 +172,8 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = variants.count_words(table(spark, sf_dir, "documents"), min_chars=7, min_n=2, typo_every=31)
     return variants.group(words, Scratch(spark), ratio=10)
+
+
+@_query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), Scratch(spark), components=16)
