@@ -1,9 +1,10 @@
 """Spelling variants: words one edit apart, found by walking a trie whose edges are a table.
 
 A state is (word, position, node, edits). A word's states without an edit are the prefixes of the
-word itself; where other edges leave such a node, one edit (replace, insert or delete) steps onto
-the other edge, and from there the state follows the trie without further edits, one join with the
-edge table a level. States that reach the end of the word at the end of an entry are neighbours.
+word itself; where other edges leave such a node, one edit steps onto another edge, and from there
+the state follows the trie without further edits, one join with the edge table a level. States that
+reach the end of the word at the end of an entry are neighbours. Being neighbours goes both ways, so
+a word only looks for entries that lack one of its letters or have a greater one in its place.
 
 Two words one edit apart share the first or the last half of either. So the trie of the words is
 entered in its lower half only, and so is the trie of the reversed words; the crowded upper levels
@@ -75,12 +76,8 @@ def _counted(total: Counter) -> pa.RecordBatch:
     )
 
 
-def _from(text: Column, start: Column) -> Column:
-    """What follows the first `start` code points."""
-    return F.substr(text, start + 1)
-
-
 def _part(text: Column, start: Column, length: Column) -> Column:
+    """`length` code points after the first `start`."""
     return F.substr(text, start + 1, length)
 
 
@@ -102,26 +99,23 @@ def edge_table(paths: DataFrame) -> DataFrame:
     return ends.select("node", "c", label.alias("label"), _part(F.col("lo"), F.lit(0), F.col("stop")).alias("child"), "leaf")
 
 
-def _half(words: DataFrame, later: int, scratch: Scratch, letters_per_round: int) -> tuple[DataFrame | None, list[str]]:
-    """(word, near) whose common prefix reaches half of `word`, rounded up with `later` = 1."""
+def _half(words: DataFrame, later: int, scratch: Scratch, broadcast_states: int) -> tuple[DataFrame, list[str]]:
+    """(word, near) whose common prefix reaches half of `word`, rounded up with `later` = 1; `near`
+    has a greater letter in one place or lacks one."""
     word, size = F.col("word"), F.length("word")
-    lowest = F.greatest(F.shiftright(size - 1 + later, 1), F.lit(0))  # where a word one letter shorter enters
-    paths = words.select("word", F.explode(F.sequence(lowest, size)).alias("p"))
+    paths = words.select("word", F.explode(F.sequence(F.shiftright(size + later, 1), size)).alias("p"))
     paths = paths.withColumn("node", _part(word, F.lit(0), F.col("p")))
     edges, edges_path = scratch.write(edge_table(paths), "trie")
 
     p, c, label = F.col("p"), F.col("c"), F.col("label")
     n, r = F.length("word"), F.length("label")
-    own = _part(word, p, F.lit(1))
-    rest = _from(label, F.lit(1))
+    own, after = _part(word, p, F.lit(1)), _part(word, p + 1, F.lit(1))
     steps = F.array(
-        F.when((c != "") & (p < n) & (rest == _part(word, p + 1, r - 1)), p + r),  # replaced
-        F.when((c != "") & (rest == _part(word, p, r - 1)), p + r - 1),  # inserted in the entry
-        F.when((p < n) & (label == _part(word, p + 1, r)), p + 1 + r),  # deleted from it
+        F.when((c > own) & (F.substr(label, F.lit(2)) == _part(word, p + 1, r - 1)), p + r),  # replaced
+        F.when((c == after) & (label == _part(word, p + 1, r)), p + 1 + r),  # the entry lacks the letter
     )
-    start = F.shiftright(size + later, 1)
     states = (
-        paths.where(p >= start).join(edges, "node").where(c != own)
+        paths.where(p < n).join(edges, "node").where((c != own) & ((c > own) | (c == after)))
         .select("word", "child", "leaf", F.explode(F.filter(steps, lambda x: x.isNotNull())).alias("pos"))
     )
     found, written = [], [edges_path]
@@ -135,7 +129,7 @@ def _half(words: DataFrame, later: int, scratch: Scratch, letters_per_round: int
         if going.isEmpty():
             break
         going = going.withColumn("c", _part(F.col("word"), F.col("pos"), F.lit(1)))
-        met = edges.join(small(going, letters_per_round), ["node", "c"])
+        met = edges.join(small(going, broadcast_states), ["node", "c"])
         met = met.where(label == _part(F.col("word"), F.col("pos"), r))
         states = met.select("word", "child", "leaf", (F.col("pos") + r).alias("pos"))
     pairs = found[0]
@@ -178,7 +172,7 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def _long_pairs(words: DataFrame) -> DataFrame:
-    """(word, near) of long words: two that differ by a replacement are equal without the letter
+    """(word, near), in one order or both, of long words: two that differ by a replacement are equal without the letter
     at that position, and one lacks a letter if the other without a letter equals it. Words travel
     as ids; the pairs' distances are verified on the words."""
 
@@ -208,9 +202,7 @@ def _long_pairs(words: DataFrame) -> DataFrame:
     def verified(x, y):
         return x.combine(y, one_edit)
 
-    pairs = pairs.where(verified("x", "y")).select("x", "y")
-    both = F.explode(F.array(F.struct(F.col("x").alias("word"), F.col("y").alias("near")), F.struct(F.col("y").alias("word"), F.col("x").alias("near"))))
-    return pairs.select(both.alias("p")).select("p.*").distinct()
+    return pairs.where(verified("x", "y")).select(F.col("x").alias("word"), F.col("y").alias("near"))
 
 
 def neighbours(words: DataFrame, scratch: Scratch, broadcast_states: int = 100_000) -> DataFrame:
@@ -228,7 +220,8 @@ def neighbours(words: DataFrame, scratch: Scratch, broadcast_states: int = 100_0
     long = words.where(F.length("word") >= LONG)
     if not long.where(F.length("word") > LONG).isEmpty():
         pairs = pairs.union(_long_pairs(long))
-    found, _ = scratch.write(pairs.distinct(), "neighbours")
+    both = pairs.union(pairs.select("near", "word")).distinct()
+    found, _ = scratch.write(both, "neighbours")
     scratch.drop(*a, *b)
     return found
 
