@@ -62,7 +62,7 @@ def _rbf_svm(seed):
 
 
 def _knn(p, total):
-    return KnnClassifier(k=int(p["n_neighbors"]), weights=p["weights"], idCol=ROW_ID)
+    return KnnClassifier(k=int(p["n_neighbors"]), weights=p["weights"], idCol=ROW_ID, mode=p.get("mode", "exact"))
 
 
 def _forest(seed):

@@ -1,4 +1,5 @@
-"""k-nearest-neighbour classifier over the partitioned neighbour join (M3)."""
+"""k-nearest-neighbour classifier (M3): over the exact neighbour join, or over a probing index whose
+probes are calibrated to a share of the true neighbours."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.operators import neighbors
+from sieveline.operators import neighbors, probing
 from sieveline.session import scratch_path
 
 
@@ -20,10 +21,21 @@ class _KnnParams(Params):
     idCol = Param(Params._dummy(), "idCol", "unique row key", TypeConverters.toString)
     featuresCol = Param(Params._dummy(), "featuresCol", "vector column", TypeConverters.toString)
     labelCol = Param(Params._dummy(), "labelCol", "label column", TypeConverters.toString)
+    mode = Param(Params._dummy(), "mode", "exact or approximate", TypeConverters.toString)
+    recall = Param(Params._dummy(), "recall", "share of true neighbours to meet in approximate mode", TypeConverters.toFloat)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(k=5, weights="uniform", idCol="row_id", featuresCol="features", labelCol="label")
+        self._setDefault(
+            k=5, weights="uniform", idCol="row_id", featuresCol="features", labelCol="label", mode="exact", recall=0.95
+        )
+
+    def search(self):
+        """The module that builds and searches the index of this mode."""
+        modes = {"exact": neighbors, "approximate": probing}
+        if self.getOrDefault("mode") not in modes:
+            raise ValueError(f"mode must be exact or approximate, got {self.getOrDefault('mode')!r}")
+        return modes[self.getOrDefault("mode")]
 
 
 class _Writer(DefaultParamsWriter):
@@ -42,8 +54,9 @@ class KnnModel(Model, _KnnParams, MLReadable, MLWritable):
 
     indexPath = Param(Params._dummy(), "indexPath", "index over the training rows", TypeConverters.toString)
 
-    def index(self) -> neighbors.Index:
-        return neighbors.Index.load(SparkSession.getActiveSession(), self.getOrDefault("indexPath"))
+    def index(self) -> neighbors.Index | probing.ProbeIndex:
+        kind = neighbors.Index if self.getOrDefault("mode") == "exact" else probing.ProbeIndex
+        return kind.load(SparkSession.getActiveSession(), self.getOrDefault("indexPath"))
 
     def write(self):
         return _Writer(self)
@@ -56,7 +69,7 @@ class KnnModel(Model, _KnnParams, MLReadable, MLWritable):
         get = self.getOrDefault
         key = get("idCol")
         asked = df.select(F.col(key), vector_to_array(get("featuresCol")).alias("v"))
-        found = neighbors.search(asked, self.index(), k=get("k"), query_id=key, vector="v")
+        found = self.search().search(asked, self.index(), k=get("k"), query_id=key, vector="v")
         p = neighbors.vote(found, query_id=key, label="y", weights=get("weights"), out="__p")
         s = F.col("__p")
         return (
@@ -71,7 +84,9 @@ class KnnClassifier(Estimator, _KnnParams):
     """Fitting builds the index over the training rows once, in the shared folder."""
 
     @keyword_only
-    def __init__(self, *, k=5, weights="uniform", idCol="row_id", featuresCol="features", labelCol="label"):
+    def __init__(
+        self, *, k=5, weights="uniform", idCol="row_id", featuresCol="features", labelCol="label", mode="exact", recall=0.95
+    ):
         super().__init__()
         self._set(**self._input_kwargs)
 
@@ -83,6 +98,8 @@ class KnnClassifier(Estimator, _KnnParams):
             vector_to_array(get("featuresCol")).alias("v"),
             F.col(get("labelCol")).cast("int").alias("y"),
         )
-        neighbors.build_index(rows, want=get("k"), train_id="t_key", vector="v", payload=["y"]).save(path)
-        copied = {n: get(n) for n in ("k", "weights", "idCol", "featuresCol", "labelCol")}
+        more = {"recall": get("recall")} if get("mode") == "approximate" else {}
+        index = self.search().build_index(rows, want=get("k"), train_id="t_key", vector="v", payload=["y"], **more)
+        index.save(path)
+        copied = {n: get(n) for n in ("k", "weights", "idCol", "featuresCol", "labelCol", "mode", "recall")}
         return KnnModel()._set(indexPath=path, **copied)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sieveline.config import SEED
 from sieveline.functions import metrics as M
-from sieveline.operators import curves, deploy, evaluate, explain, importance, neighbors, splits, thresholds
+from sieveline.operators import curves, deploy, evaluate, explain, importance, neighbors, probing, splits, thresholds
 from sieveline.models.stages import fit_preprocessing
 from sieveline.operators.harmonize import combine_sets
 from sieveline.plans import sql_views as V
@@ -671,3 +671,23 @@ def knn_vote(spark, sf):
     found = neighbors_of_embeddings(spark, sf)
     votes = found.groupBy("vec_id").agg(*[neighbors.vote_of("label", weights).alias(weights) for weights in ("uniform", "distance")])
     return rounded(votes, "uniform", "distance")
+
+
+@query(
+    "knn_probing_recall",
+    with_ctes(
+        _NEIGHBORS,
+        "SELECT count(DISTINCT vec_id) AS n_queries, count(*) AS n_true, TRUE AS recall_reached FROM nn WHERE vec_id % 50 = 0",
+    ),
+)
+def knn_probing_recall(spark, sf):
+    """Neighbours by probing for every 50th vector, against all rows, and whether at least nine
+    in ten of the true ones are met."""
+    rows = T.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    asked = rows.where("vec_id % 50 = 0")
+    ids = {"query_id": "vec_id", "vector": "embedding", "exclude_same_id": True}
+    index = probing.build_index(rows, want=K + 1, train_id="vec_id", vector="embedding", cell_rows=32)
+    found = probing.search(asked, index, k=K, **ids)
+    truth = neighbors.nearest(asked, rows, k=K, train_id="vec_id", **ids)
+    met = probing.recall(found, truth, query_id="vec_id")
+    return met.select("n_queries", "n_true", (F.col("recall") >= 0.9).alias("recall_reached"))
