@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sieveline.config import SEED
 from sieveline.functions import metrics as M
-from sieveline.operators import curves, deploy, evaluate, explain, importance, neighbors, probing, splits, thresholds
+from sieveline.operators import curves, deploy, evaluate, explain, importance, neighbors, probing, splits, thresholds, trees
 from sieveline.models.stages import fit_preprocessing
 from sieveline.operators.harmonize import combine_sets
 from sieveline.plans import sql_views as V
@@ -634,6 +634,55 @@ def shapley_sampling(spark, sf):
     return rounded(table, "feature_value_raw", "feature_value_model", "shap_value", "base_value")
 
 
+
+# a stand-in ensemble over two features: a tree of depth two and a stump, with their weights
+_TREES = (
+    (0.6, [
+        {"id": 0, "feature": 0, "threshold": 3.0, "left": 1, "right": 2},
+        {"id": 1, "feature": 1, "threshold": 40.0, "left": 3, "right": 4},
+        {"id": 2, "feature": 1, "threshold": 70.0, "left": 5, "right": 6},
+        {"id": 3, "value": 0.1}, {"id": 4, "value": 0.35}, {"id": 5, "value": 0.8}, {"id": 6, "value": 0.55},
+    ]),
+    (0.4, [{"id": 0, "feature": 1, "threshold": 55.0, "left": 1, "right": 2}, {"id": 1, "value": 0.2}, {"id": 2, "value": 0.6}]),
+)
+
+
+def _tree_state(amount, k):
+    deep = f"CASE WHEN {amount} <= 3.0 THEN CASE WHEN {k} <= 40 THEN 0.1 ELSE 0.35 END ELSE CASE WHEN {k} <= 70 THEN 0.8 ELSE 0.55 END END"
+    return f"CAST(0.6 * ({deep}) + 0.4 * (CASE WHEN {k} <= 55 THEN 0.2 ELSE 0.6 END) AS DOUBLE)"
+
+
+_G = {(i, j): _tree_state("x.amount" if i else "b.amount", "x.k" if j else "b.k") for i in (0, 1) for j in (0, 1)}
+
+
+@query(
+    "tree_attribution",
+    with_ctes(
+        V.B_RAW,
+        V.B,
+        "x AS (SELECT event_id, ln(1 + amount) AS amount, coalesce(k, 0.0) AS k FROM b)",
+        f"b200 AS (SELECT * FROM x ORDER BY md5('{SEED}:' || event_id), event_id LIMIT 200)",
+        f"""s AS (SELECT x.event_id, x.amount, x.k, avg({_G[0, 0]}) AS base,
+                avg(({_G[1, 0]} - {_G[0, 0]} + {_G[1, 1]} - {_G[0, 1]}) / 2) AS phi_amount,
+                avg(({_G[0, 1]} - {_G[0, 0]} + {_G[1, 1]} - {_G[1, 0]}) / 2) AS phi_k
+              FROM x CROSS JOIN b200 AS b GROUP BY x.event_id, x.amount, x.k)""",
+        """l AS (SELECT event_id, base, 'amount' AS feature, amount AS v, phi_amount AS phi FROM s
+                 UNION ALL SELECT event_id, base, 'k', k, phi_k FROM s)""",
+        """SELECT event_id, feature, round(v, 6) AS feature_value_model, round(phi, 6) + 0.0 AS shap_value,
+             round(base, 6) AS base_value FROM l""",
+    ),
+)
+def tree_attribution(spark, sf):
+    """Exact attributions of a stand-in ensemble for every row, against 200 background rows."""
+    features = ["amount", "k"]
+    df = T.survey_b(spark, sf)[0].select("event_id", F.log1p("amount").alias("amount"), F.coalesce("k", F.lit(0.0)).alias("k"))
+    background = splits.background_sample(df, features=features, key="event_id", max_rows=200)
+    leaves = [leaf for weight, nodes in _TREES for leaf in trees.leaves_of(nodes, weight)]
+    parts = trees.tree_attribution(df, background, key="event_id", features=features, leaves=leaves)
+    parts = parts.drop("feature_value_raw", "abs_rank")
+    return rounded(parts, "feature_value_model", "shap_value", "base_value")
+
+
 K = 5
 _NEIGHBORS = f"""
 e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label FROM embeddings),

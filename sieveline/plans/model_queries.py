@@ -10,6 +10,7 @@ from sieveline.models import families
 from sieveline.models.search import fit_model, run_search, search_summary
 from sieveline.operators import explain, neighbors, splits
 from sieveline.operators.score import predict, rank_candidates
+from sieveline.plans import sql_views as V
 from sieveline.plans import testbed as T
 from sieveline.plans.prepare_queries import _VALID_SQL, VALIDATE_INTERVALS, _VALIDATE, inputs_to_validate
 from sieveline.plans.registry import query, with_ctes
@@ -71,6 +72,26 @@ def explain_model(spark, sf):
     )
 
 
+@query(
+    "explain_forest",
+    with_ctes(V.A_RAW, "SELECT row_id, 4 AS n_features, TRUE AS adds_up, TRUE AS in_order FROM a_raw WHERE raw_label = 'CANDIDATE'"),
+)
+def explain_forest(spark, sf):
+    """X5, X7, X8 on a fitted forest of 200 trees: every candidate's exact attributions, whether they
+    add up to its probability less the background's, and whether they are ranked by size."""
+    df = folded(spark, sf)
+    model = fit_model(df.where("fold <> 0"), families.default_specs()["rf"], PARAMS["rf"], spec=T.SPEC_A)
+    deployed = {"rf": {"model": model, "model_name": "rf", "profile": "f2", "threshold": 0.5}}
+    parts = explain.explain_deployment(
+        T.survey_a(spark, sf)[1], T.survey_a(spark, sf)[0], deployed, deploy_id="rf", key="row_id", features=T.FEATURES_A
+    )
+    gap = F.abs(F.sum("shap_value") + F.max("base_value") - F.max("probability_positive"))
+    sizes = F.transform(F.array_sort(F.collect_list(F.struct("abs_rank", F.abs("shap_value").alias("v")))), lambda x: -x["v"])
+    return parts.groupBy("row_id").agg(
+        F.count("*").cast("int").alias("n_features"), (gap < 1e-9).alias("adds_up"), (sizes == F.array_sort(sizes)).alias("in_order")
+    )
+
+
 @query("model_search")
 def model_search(spark, sf):
     """M8 and A15 over two families with grouped folds."""

@@ -147,7 +147,7 @@ def test_search_to_deployment(spark, rows, tmp_path):
         rows.where("row_id = 'r1'"), rows, deployed, deploy_id="deploy_f2", key="row_id", features=SPEC.features,
         classes=("no", "yes"), n_samples=20, max_background=8,
     ).first()
-    assert (told["deploy_id"], told["model_name"], told["profile"], told["explainer"]) == ("deploy_f2", "rf", "f2", "sampled")
+    assert (told["deploy_id"], told["model_name"], told["profile"], told["explainer"]) == ("deploy_f2", "rf", "f2", "tree")
     assert (told["positive_label"], told["negative_label"]) == ("yes", "no") and told["prediction"] in ("yes", "no")
     with pytest.raises(KeyError, match="not among the deployments"):
         explain.explain_deployment(rows, rows, deployed, deploy_id="x", key="row_id", features=SPEC.features)
