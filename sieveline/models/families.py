@@ -7,13 +7,14 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.config import SEED
 from sieveline.models.knn import KnnClassifier
+from sieveline.models.newton import NewtonLogistic
 from sieveline.models.rff import RffSvm
 
 FEATURES, LABEL, WEIGHT, ROW_ID = "features", "label", "weight", "row_id"
@@ -45,9 +46,8 @@ class ModelSpec:
 
 
 def _logistic(p, total):
-    return LogisticRegression(
-        featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, regParam=1.0 / (p["C"] * total),
-        elasticNetParam=0.0, standardization=False, maxIter=int(p.get("max_iter", 5000)), tol=1e-6,
+    return NewtonLogistic(
+        C=float(p["C"]), featuresCol=FEATURES, labelCol=LABEL, weightCol=WEIGHT, maxIter=int(p.get("max_iter", 5000))
     )
 
 
@@ -128,10 +128,11 @@ def positive_score(model, frame: DataFrame, out: str = "score") -> DataFrame:
 
 def with_class_weights(df: DataFrame, *, label: str = LABEL, out: str = WEIGHT) -> tuple[DataFrame, float]:
     """Balanced weights n / (2 n_c) and their total, which equals n."""
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    if sorted(counts) != [0, 1]:
-        raise ValueError(f"expected labels 0 and 1, got {sorted(counts)}")
-    n = counts[0] + counts[1]
+    y = F.col(label)
+    row = df.agg(*[F.count_if(c).alias(n) for n, c in (("zero", y == 0), ("one", y == 1), ("other", ~y.isin(0, 1) | y.isNull()))]).first()
+    if row["other"] or not row["zero"] or not row["one"]:
+        raise ValueError(f"expected labels 0 and 1 alone and both, got {row.asDict()}")
+    n, counts = row["zero"] + row["one"], {0: row["zero"], 1: row["one"]}
     w = F.when(F.col(label) == 1, F.lit(n / (2.0 * counts[1]))).otherwise(F.lit(n / (2.0 * counts[0])))
     return df.withColumn(out, w), float(n)
 

@@ -12,7 +12,7 @@ from sieveline.operators import explain, neighbors, splits
 from sieveline.operators.score import predict, rank_candidates
 from sieveline.plans import sql_views as V
 from sieveline.plans import testbed as T
-from sieveline.plans.prepare_queries import _VALID_SQL, VALIDATE_INTERVALS, _VALIDATE, inputs_to_validate
+from sieveline.plans.prepare_queries import _VALID_SQL, VALIDATE_INTERVALS, _VALIDATE, inputs_to_validate, rounded
 from sieveline.plans.registry import query, with_ctes
 from sieveline.session import scratch_path, written
 from sieveline.streaming import flows
@@ -43,7 +43,25 @@ def _scores(name):
     return run
 
 
-for _query, _family in (("logreg_scores", "logreg"), ("rf_scores", "rf"), ("gbt_scores", "hgb"), ("rff_svm_scores", "svc_rbf"), ("knn_scores", "knn")):
+_LOGREG = (V.A_RAW, V.A, V.PREPARED_ALL, V.newton(PARAMS["logreg"]["C"]), f"scored AS (SELECT p4.*, 1.0 / (1.0 + exp(-({V.MARGIN}))) AS p FROM p4, fitted)")
+
+
+def _scored_sql(deploy_id, where):
+    return f"""SELECT row_id, '{deploy_id}' AS deploy_id, 'logreg' AS model_name, 'f2' AS profile, 0.5::DOUBLE AS threshold,
+      round(p, 6) AS probability_positive, round(1.0 - p, 6) AS probability_negative, round(p - 0.5, 6) AS margin,
+      CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction, 1 AS positive_label, 0 AS negative_label FROM scored WHERE {where}"""
+
+
+_SCORES = ("probability_positive", "probability_negative", "margin")
+
+
+@query("logreg_scores", with_ctes(*_LOGREG, _scored_sql("logreg", "split <> 'candidate'")))
+def logreg_scores(spark, sf):
+    """M1: fitted outside the first fold by Newton steps, as the SQL takes them."""
+    return rounded(_scores("logreg")(spark, sf), *_SCORES)
+
+
+for _query, _family in (("rf_scores", "rf"), ("gbt_scores", "hgb"), ("rff_svm_scores", "svc_rbf"), ("knn_scores", "knn")):
     query(_query)(_scores(_family))
 
 
@@ -53,23 +71,46 @@ def _fitted_logreg(spark, sf):
     return {"deploy_f2": {"model": model, "model_name": "logreg", "profile": "f2", "threshold": 0.5}}
 
 
-@query("candidate_scores")
+@query("candidate_scores", with_ctes(*_LOGREG, _scored_sql("deploy_f2", "split = 'candidate'")))
 def candidate_scores(spark, sf):
     """V6: unlabeled rows scored by a deployed model, most likely first."""
     scored = predict(
         T.survey_a(spark, sf)[1], _fitted_logreg(spark, sf), deploy_id="deploy_f2", key="row_id",
         features=T.FEATURES_A, validate=False,
     )
-    return rank_candidates(scored, key="row_id")
+    return rounded(rank_candidates(scored, key="row_id"), *_SCORES)
 
 
-@query("explain_model")
+_BASE = " + ".join([f"w{i} * b_{f}" for i, f in enumerate(T.FEATURES_A)] + [f"w{len(T.FEATURES_A)}"])
+
+
+@query(
+    "explain_model",
+    with_ctes(
+        *_LOGREG,
+        "bg AS (SELECT p4.* FROM p4 JOIN (SELECT row_id FROM a ORDER BY md5('42:' || row_id), row_id LIMIT 200) USING (row_id))",
+        "mb AS (SELECT " + ", ".join(f"avg({f}) AS b_{f}" for f in T.FEATURES_A) + " FROM bg)",
+        "l AS ("
+        + " UNION ALL ".join(
+            f"SELECT c.row_id, {i} AS i, '{f}' AS feature, r.{f} AS raw, c.{f} AS v, w{i} * (c.{f} - b_{f}) AS phi, {_BASE} AS base, p "
+            "FROM scored AS c JOIN a_raw AS r USING (row_id), mb, fitted WHERE c.split = 'candidate'"
+            for i, f in enumerate(T.FEATURES_A)
+        )
+        + ")",
+        """SELECT row_id, feature, round(raw, 6) AS feature_value_raw, round(v, 6) AS feature_value_model, round(phi, 6) AS shap_value,
+             CAST(row_number() OVER (PARTITION BY row_id ORDER BY abs(phi) DESC, i) AS INTEGER) AS abs_rank, round(base, 6) AS base_value,
+             'log_odds' AS scale, round(p, 6) AS probability_positive, round(1.0 - p, 6) AS probability_negative,
+             CASE WHEN p >= 0.5 THEN 1 ELSE 0 END AS prediction, 'deploy_f2' AS deploy_id, 'logreg' AS model_name, 'f2' AS profile,
+             0.5::DOUBLE AS threshold, 1 AS positive_label, 0 AS negative_label, 'linear' AS explainer FROM l""",
+    ),
+)
 def explain_model(spark, sf):
     """X8 on a fitted logistic model: prediction and attribution of every candidate."""
-    return explain.explain_deployment(
+    told = explain.explain_deployment(
         T.survey_a(spark, sf)[1], T.survey_a(spark, sf)[0], _fitted_logreg(spark, sf), deploy_id="deploy_f2",
         key="row_id", features=T.FEATURES_A,
     )
+    return rounded(told, "feature_value_raw", "feature_value_model", "shap_value", "base_value", *_SCORES[:2])
 
 
 @query(

@@ -171,3 +171,55 @@ COUNTS_SQL = """
        CAST(count(*) FILTER (WHERE label = 0 AND prediction = 1) AS BIGINT) AS fp,
        CAST(count(*) FILTER (WHERE label = 1 AND prediction = 0) AS BIGINT) AS fn,
        CAST(count(*) FILTER (WHERE label = 1 AND prediction = 1) AS BIGINT) AS tp"""
+
+
+# the same steps with the candidates beside the labeled rows
+PREPARED_ALL = PREPARED.replace(
+    "fold FROM a JOIN folds USING (group_id)),",
+    """fold FROM a JOIN folds USING (group_id)
+       UNION ALL SELECT row_id, group_id, NULL, quantity, price, discount, tax, 'candidate', NULL FROM a_raw WHERE raw_label = 'CANDIDATE'),""",
+    1,
+)
+
+
+def newton(c: float, steps: int = 12) -> str:
+    """CTEs that fit the balanced logistic regression on the training rows of p4 by Newton steps; the
+    last, `fitted`, holds w0.. and the intercept w4. A step's system is solved by Cholesky factors."""
+    d = len(FEATURES_A) + 1
+    x = [*FEATURES_A, "1.0"]
+    out = [
+        f"""nt AS MATERIALIZED (
+  SELECT {', '.join(FEATURES_A)}, CAST(label AS DOUBLE) AS y, CASE label WHEN 1 THEN n / (2.0 * n1) ELSE n / (2.0 * (n - n1)) END AS s
+  FROM p4, (SELECT count(*) AS n, count(*) FILTER (WHERE label = 1) AS n1 FROM p4 WHERE split = 'train') WHERE split = 'train')""",
+        "w_0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS w{i}" for i in range(d)) + ")",
+    ]
+    z = " + ".join(f"w{i} * {v}" for i, v in enumerate(x))
+    low = lambda i, j: f"l{i}{j}"
+    for t in range(1, steps + 1):
+        sums = [f"sum(r * {x[i]})" + (f" + any_value(w{i}) / {c}" if i < d - 1 else "") + f" AS g{i}" for i in range(d)]
+        sums += [
+            f"sum(h * {x[i]} * {x[j]})" + (f" + 1.0 / {c}" if i == j < d - 1 else "") + f" AS h{i}{j}"
+            for i in range(d) for j in range(i + 1)
+        ]
+        solve = []  # each entry may name those before it, so each is a SELECT of its own
+        for j in range(d):
+            for i in range(j, d):
+                rest = "".join(f" - {low(i, k)} * {low(j, k)}" for k in range(j))
+                solve.append(f"sqrt(h{j}{j}{rest}) AS {low(j, j)}" if i == j else f"(h{i}{j}{rest}) / {low(j, j)} AS {low(i, j)}")
+        for i in range(d):
+            solve.append(f"(g{i}" + "".join(f" - {low(i, k)} * u{k}" for k in range(i)) + f") / {low(i, i)} AS u{i}")
+        for i in reversed(range(d)):
+            solve.append(f"(u{i}" + "".join(f" - {low(k, i)} * v{k}" for k in range(i + 1, d)) + f") / {low(i, i)} AS v{i}")
+        olds = [f"any_value(w{i}) AS o{i}" for i in range(d)]
+        z_rows = f"SELECT *, 1.0 / (1.0 + exp(-({z}))) AS p FROM nt, w_{t - 1}"
+        step = f"SELECT {', '.join(sums + olds)} FROM (SELECT *, s * (p - y) AS r, s * p * (1.0 - p) AS h FROM ({z_rows}))"
+        for one in solve:
+            step = f"SELECT *, {one} FROM ({step})"
+        news = ", ".join(f"o{i} - v{i} AS w{i}" for i in range(d))
+        out.append(f"w_{t} AS MATERIALIZED (SELECT {news} FROM ({step}))")
+    out.append(f"fitted AS (SELECT * FROM w_{steps})")
+    return ",\n".join(out)
+
+
+#: The margin of a row of p4 under `fitted`.
+MARGIN = " + ".join([f"w{i} * {f}" for i, f in enumerate(FEATURES_A)] + [f"w{len(FEATURES_A)}"])
