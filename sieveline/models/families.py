@@ -7,12 +7,13 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.config import SEED
+from sieveline.models.boosting import HistBoosting
 from sieveline.models.knn import KnnClassifier
 from sieveline.models.newton import NewtonLogistic
 from sieveline.models.rff import RffSvm
@@ -76,15 +77,11 @@ def _forest(seed):
     return build
 
 
-def _boosting(seed):
-    def build(p, total):
-        return GBTClassifier(
-            featuresCol=FEATURES, labelCol=LABEL, stepSize=float(p["learning_rate"]),
-            maxIter=int(p.get("max_iter", 100)), maxDepth=math.ceil(math.log2(p["max_leaf_nodes"])),
-            maxBins=255, minInstancesPerNode=20, seed=seed,
-        )
-
-    return build
+def _boosting(p, total):
+    return HistBoosting(
+        featuresCol=FEATURES, labelCol=LABEL, learningRate=float(p["learning_rate"]),
+        maxLeafNodes=int(p["max_leaf_nodes"]), maxIter=int(p.get("max_iter", 100)),
+    )
 
 
 def default_specs(seed: int = SEED) -> dict[str, ModelSpec]:
@@ -101,7 +98,7 @@ def default_specs(seed: int = SEED) -> dict[str, ModelSpec]:
             scaled=False,
         ),
         "hgb": ModelSpec(
-            _boosting(seed),
+            _boosting,
             {"learning_rate": log_uniform(1e-3, 1e-1), "max_leaf_nodes": integers(15, 63)},
             scaled=False,
             weighted=False,

@@ -65,6 +65,8 @@ def read_leaves(model, spark) -> tuple[list[Leaf], bool]:
     """
     from pyspark.ml.classification import DecisionTreeClassificationModel, GBTClassificationModel
 
+    if hasattr(model, "leaves"):
+        return model.leaves(), True
     path = scratch_path(spark, "trees")
     model.write().save(path)
     data = spark.read.parquet(f"{path}/data")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import dataclasses
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from sieveline.models import families
+from sieveline.models.boosting import HistBoosting
 from sieveline.models.search import fit_model, run_search, search_summary
+from sieveline.models.stages import fit_preprocessing
 from sieveline.operators import explain, neighbors, splits
 from sieveline.operators.score import predict, rank_candidates
 from sieveline.plans import sql_views as V
@@ -133,6 +136,38 @@ def explain_forest(spark, sf):
     )
 
 
+_STUMP = ("quantity", "discount", "tax")  # columns of few values, whose cuts SQL can list
+
+
+@query(
+    "boosted_stump",
+    with_ctes(
+        V.A_RAW, V.A, V.PREPARED,
+        "n0 AS (SELECT count(*) AS n, avg(label) AS p FROM p3 WHERE split = 'train')",
+        "g AS (" + " UNION ALL ".join(
+            f"SELECT {i} AS f, {c} AS v, sum(p - label) AS g, sum(p * (1 - p)) AS h, count(*) AS n FROM p3, n0 WHERE split = 'train' GROUP BY {c}, p"
+            for i, c in enumerate(_STUMP)
+        ) + ")",
+        """l AS (SELECT f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER (PARTITION BY f) AS gt,
+                 sum(h) OVER (PARTITION BY f) AS ht, sum(n) OVER (PARTITION BY f) AS nt FROM g WINDOW w AS (PARTITION BY f ORDER BY v))""",
+        """top AS (SELECT * FROM l WHERE nl >= 20 AND nt - nl >= 20
+                 ORDER BY round(gl * gl / hl + (gt - gl) * (gt - gl) / (ht - hl) - gt * gt / ht, 9) DESC, f, v LIMIT 1)""",
+        "x AS (SELECT row_id, CASE f WHEN 0 THEN quantity WHEN 1 THEN discount ELSE tax END <= v AS goes_left, top.*, p FROM p3, top, n0)",
+        """SELECT row_id, round(1.0 / (1.0 + exp(-(ln(p / (1 - p)) - 0.5 * CASE WHEN goes_left THEN gl / hl ELSE (gt - gl) / (ht - hl) END))), 6) AS score
+           FROM x""",
+    ),
+)
+def boosted_stump(spark, sf):
+    """M6 in its smallest form: one round of one split, fitted outside the first fold."""
+    df = folded(spark, sf)
+    spec = dataclasses.replace(T.SPEC_A, scale=False)
+    prepare = fit_preprocessing(df.where("fold <> 0"), spec, keep=["row_id", "label", "fold"], vector=None)
+    ready = VectorAssembler(inputCols=list(_STUMP), outputCol="features").transform(prepare.transform(df))
+    learner = HistBoosting(maxIter=1, maxLeafNodes=2, learningRate=0.5)
+    scored = families.positive_score(learner.fit(ready.where("fold <> 0")), ready)
+    return rounded(scored.select("row_id", "score"), "score")
+
+
 @query("model_search")
 def model_search(spark, sf):
     """M8 and A15 over two families with grouped folds."""
