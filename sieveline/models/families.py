@@ -56,7 +56,7 @@ def _rbf_svm(seed):
     def build(p, total):
         return RffSvm(
             C=float(p["C"]), gamma=float(p["gamma"]), numFeatures=int(p.get("num_features", 512)),
-            maxIter=int(p.get("max_iter", 100)), totalWeight=float(total), seed=seed,
+            maxIter=int(p.get("max_iter", 200)), seed=seed,
         )
 
     return build

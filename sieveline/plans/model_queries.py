@@ -136,6 +136,15 @@ def explain_forest(spark, sf):
     )
 
 
+@query("svm_gap", with_ctes(V.A_RAW, V.A, V.FOLDS, "SELECT count(*) AS n_rows, 512 AS n_features, TRUE AS within_gap FROM a JOIN folds USING (group_id) WHERE fold <> 0"))
+def svm_gap(spark, sf):
+    """M2: whether the fit's duality gap is at most a hundredth of its objective."""
+    rows = folded(spark, sf).where("fold <> 0")
+    model = fit_model(rows, families.default_specs()["svc_rbf"], PARAMS["svc_rbf"], spec=T.SPEC_A).stages[-1]
+    width, gap = len(model.getOrDefault("weights")) - 1, model.getOrDefault("gap")
+    return rows.agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(width).alias("n_features"), F.lit(0 <= gap <= 0.01).alias("within_gap"))
+
+
 _STUMP = ("quantity", "discount", "tax")  # columns of few values, whose cuts SQL can list
 
 

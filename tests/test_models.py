@@ -94,7 +94,7 @@ def test_fourier_svm_separates_rings(spark):
         data.append((y, 1.0, r * math.cos(t), r * math.sin(t)))
     df = spark.createDataFrame(data, "label int, weight double, a double, b double")
     df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
-    model = RffSvm(C=10.0, gamma=1.0, numFeatures=128, maxIter=30, totalWeight=600.0).fit(df)
+    model = RffSvm(C=10.0, gamma=1.0, numFeatures=128, maxIter=30).fit(df)
     out = model.transform(df)
     assert out.where(F.col("prediction") == F.col("label")).count() > 570
     assert families.positive_score(model, df).where("(score >= 0.5) = (label = 1)").count() > 570
