@@ -131,6 +131,34 @@ def artifact_reuse(spark, sf):
     return out
 
 
+@query(
+    "reuse_on_change",
+    """WITH n AS (SELECT count(*) AS n FROM orders)
+       SELECT CAST(step AS INTEGER) AS step, what, reused, (SELECT n FROM n) AS n_rows FROM (VALUES
+         (0, 'new', false), (1, 'same rows in another order', true), (2, 'one value changed', false), (3, 'unchecked', true),
+         (4, 'forced', false), (5, 'same again', true)) AS s(step, what, reused)""",
+)
+def reuse_on_change(spark, sf):
+    """The rows' fingerprint decides whether a result is built anew."""
+    root = scratch_path(spark, "reuse")
+    orders = T.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    least = orders.agg(F.min("o_orderkey")).first()[0]
+    changed = orders.withColumn("o_totalprice", F.when(F.col("o_orderkey") == least, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    dealt = orders.repartition(7, "o_totalprice").sortWithinPartitions(F.desc("o_orderkey"))
+    steps = [
+        ("new", orders, {}), ("same rows in another order", dealt, {}), ("one value changed", changed, {}),
+        ("unchecked", orders, {"check": False}), ("forced", orders, {"force": True}), ("same again", dealt, {}),
+    ]
+    out = None
+    for step, (what, rows, how) in enumerate(steps):
+        asked = {"rows": artifacts.fingerprint(rows)}
+        table, reused = artifacts.materialize_or_reuse(spark, root, "orders", asked, lambda rows=rows: rows, **how)
+        row = table.agg(F.lit(step).alias("step"), F.lit(what).alias("what"), F.lit(reused).alias("reused"), F.count("*").alias("n_rows"))
+        row = written(row, "reuse-step")  # the next call may replace the table
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("evaluation_union", """
 WITH a AS (SELECT l_quantity AS quantity, l_tax AS tax, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_linestatus AS s FROM lineitem),
 u AS (SELECT CASE s WHEN 'O' THEN 'first' ELSE 'second' END AS dataset, * FROM a UNION ALL SELECT 'both', * FROM a)

@@ -81,6 +81,23 @@ def signature(config) -> str:
     return digest.hexdigest()
 
 
+def fingerprint(df: DataFrame) -> dict:
+    """Identity of a table's rows, whatever their order and partitions: columns with their types, the
+    number of rows, and the sum and exclusive or of two hashes of each row. Columns go by name; a null
+    differs from any value, and columns that are maps are read as sorted entries."""
+    cells = []
+    for name, kind in sorted(df.dtypes):
+        column = F.col(f"`{name}`")
+        value = F.array_sort(F.map_entries(column)) if kind.startswith("map<") else column
+        cells += [value, column.isNull()]
+    one, two = F.xxhash64(*cells), F.xxhash64(F.lit("second"), *cells)
+    row = df.agg(
+        F.count("*").alias("rows"), F.sum(one.cast("decimal(38,0)")).alias("sum"),
+        F.bit_xor(two).alias("xor"), F.sum(two.cast("decimal(38,0)")).alias("sum_two"),
+    ).first()
+    return {"columns": sorted(df.dtypes), **{k: str(v) for k, v in row.asDict().items()}}
+
+
 def model_facts(model) -> list:
     """Class and parameters of each stage of a fitted model, without uids and locations."""
     return [
@@ -156,7 +173,7 @@ def importance_run(
     """(importance table, its metadata row, reused) for one run tag.
 
     Reused if the run asks for the same as the one before: tag, metric, repeats, seed, datasets
-    and what the deployments decide by. Deployments without a `score` are scored by their `model`.
+    with their rows, and what the deployments decide by. Deployments without a `score` are scored by their `model`.
     """
     names = sets.select("dataset").distinct().toArrow().column(0).to_pylist()  # a few
     config = {
@@ -165,6 +182,7 @@ def importance_run(
         "n_repeats": n_repeats,
         "seed": seed,
         "datasets": sorted(names),
+        "rows": fingerprint(sets.select("dataset", key, "label", *features)),
         "n_deployments": len(deployments),
         "deployments": deployments_signature(deployments),
     }
@@ -188,23 +206,39 @@ def importance_run(
     return table, meta.select(asked, "created_at", "n_rows").select("asked.*", "created_at", "n_rows"), reused
 
 
-def save_bundle(models: Mapping[str, PipelineModel], manifest: DataFrame, path: str) -> str:
-    """Models by name and the manifest of the deployments that use them."""
+def save_bundle(
+    models: Mapping[str, PipelineModel], manifest: DataFrame, path: str, *, comparison: DataFrame | None = None
+) -> str:
+    """Models by name, the manifest of the deployments that use them, and, from `comparison` (model,
+    profile, dataset, metrics), each deployment's metrics by dataset (S12)."""
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/models/{name}")
     manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    if comparison is not None:
+        chosen = manifest.select("deploy_id", "model", "profile")
+        rows = comparison.join(F.broadcast(chosen), ["model", "profile"])  # a row per deployment
+        rows.select("deploy_id", "dataset", *BUNDLE_METRICS).write.mode("overwrite").parquet(f"{path}/metrics")
     return path
 
 
+#: Metrics of a deployment that a bundle keeps by dataset (fixed values).
+BUNDLE_METRICS = ("recall", "precision", "f2", "pr_auc", "tn", "fp", "fn", "tp")
+_METRIC_ROWS = "deploy_id string, dataset string, recall double, precision double, f2 double, pr_auc double, tn long, fp long, fn long, tp long"
+
+
 def load_bundle(spark: SparkSession, path: str) -> tuple[dict[str, dict], DataFrame]:
-    """({deploy_id: model, model_name, profile, threshold}, registry table by id)."""
+    """({deploy_id: model, model_name, profile, threshold, metrics by dataset}, registry table by id)."""
     registry = deploy.registry(spark.read.parquet(f"{path}/manifest"))
     rows = registry.collect()  # one row per deployment
     models = {n: PipelineModel.load(f"{path}/models/{n}") for n in {r["model_name"] for r in rows}}
+    metrics: dict[str, dict] = {}
+    for r in read_optional(spark, f"{path}/metrics", _METRIC_ROWS).collect():  # deployments x datasets
+        metrics.setdefault(r["deploy_id"], {})[r["dataset"]] = {m: r[m] for m in BUNDLE_METRICS}
     deployed = {
         r["deploy_id"]: {
             "model": models[r["model_name"]], "model_name": r["model_name"],
             "profile": display_profile(r["profile"]), "threshold": float(r["threshold"]),
+            "metrics": metrics.get(r["deploy_id"], {}),
         }
         for r in rows
     }
