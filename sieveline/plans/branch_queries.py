@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sieveline import config as C
 from sieveline.functions import metrics as M
-from sieveline.operators import curves, harmonize, neighbors, profile, records, screen, thresholds
+from sieveline.operators import curves, deploy, harmonize, neighbors, profile, records, screen, thresholds
 from sieveline.operators.evaluate import confusion
 from sieveline.plans import evaluate_queries as E
 from sieveline.plans import prepare_queries as P
@@ -98,6 +99,98 @@ def harmonize_b_csv(spark, sf):
     return rounded(labeled.withColumn("event_id", F.col("event_id").cast("long")), "amount", "k")
 
 
+def _commented_csv(df, path):
+    """CSV files that begin with comment lines above their header and hold one more among the rows."""
+    header = ",".join(df.columns)
+
+    def lines(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(["# a catalogue", "# 1, 2, 3", header])], names=["value"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([*batch.column(0).to_pylist(), "# so far"])], names=["value"])
+
+    rows = df.select(F.to_csv(F.struct(*df.columns)).alias("value"))
+    rows.mapInArrow(lines, "value string").write.text(path)
+
+
+@query("harmonize_a_csv", ORACLES["harmonize_a"])
+def harmonize_a_csv(spark, sf):
+    """Catalogue A as CSV files with comment lines, read by column name and harmonised."""
+    path = scratch_path(spark, "catalogue-a")
+    _commented_csv(T.survey_a_raw(spark, sf), path)
+    return harmonize.prepare_survey(catalogs.read_survey_a(spark, path), T.MAP_A, keep=("row_id",))[0]
+
+
+# the i-th measure of a standard catalogue, from columns of line items and of events
+_MEASURES = [name for _, _, name in C.SURVEY_COLUMNS[2:]]
+_KEPT = [m for m in _MEASURES if m not in C.DROP_MISSING]
+
+
+@query(
+    "standard_surveys",
+    with_ctes(
+        """ra AS (SELECT CAST(l_orderkey AS VARCHAR) AS g, l_returnflag AS k, l_quantity AS v FROM lineitem)""",
+        """rb AS (SELECT CAST(user_id AS VARCHAR) AS g, event_type AS k, CAST(value AS DOUBLE) AS v FROM events WHERE value > 0)""",
+        "parts AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{name}' AS part, g, {label} AS label, v, {scale} AS scale FROM {source} WHERE k IN ({kinds})"
+            for name, source, kinds, label, scale in (
+                ("a_labeled", "ra", "'R', 'A'", "CASE k WHEN 'R' THEN 1 ELSE 0 END", 1.0),
+                ("a_candidates", "ra", "'N'", "NULL", 1.0),
+                ("b_labeled", "rb", "'purchase', 'error', 'signup'", "CASE k WHEN 'purchase' THEN 1 ELSE 0 END", C.PERCENT_TO_PPM),
+                ("b_candidates", "rb", "'view'", "NULL", C.PERCENT_TO_PPM),
+            )
+        )
+        + ")",
+        f"""SELECT part, count(*) AS n_rows, count(DISTINCT g) AS n_groups, CAST(sum(label) AS BIGINT) AS n_positive, {len(_KEPT)} AS n_measures,
+              round(sum(v * 1), 2) AS first_measure, round(sum(v * {_MEASURES.index("transit_depth") + 1}) * max(scale), 0) AS depth FROM parts GROUP BY part""",
+    ),
+)
+def standard_surveys(spark, sf):
+    """Both catalogues under their standard raw names, prepared with the standard settings."""
+    items = T.survey_a_raw(spark, sf)
+    raw_a = items.select(
+        F.col("l_orderkey").alias("kepid"), F.col("disposition").alias("koi_disposition"),
+        *[(F.col("l_quantity") * (i + 1)).alias(a) for i, (a, _, _) in enumerate(C.SURVEY_COLUMNS[2:])],
+    )
+    events = T.survey_b_raw(spark, sf)
+    raw_b = events.select(
+        F.col("user_id").alias("pl_name"), "disposition", C.PREFERRED_FLAG,
+        *[(F.col("amount").cast("double") * (i + 1)).alias(b) for i, (_, b, _) in enumerate(C.SURVEY_COLUMNS[2:])],
+    )
+    out = None
+    for part, df in harmonize.prepare_surveys(raw_a, raw_b).items():
+        label = F.sum("label") if "label" in df.columns else F.lit(None)
+        measures = [c for c in df.columns if c not in ("group_id", "label")]
+        row = df.agg(
+            F.lit(part).alias("part"), F.count("*").alias("n_rows"), F.countDistinct("group_id").alias("n_groups"),
+            label.cast("long").alias("n_positive"), F.lit(len(measures)).alias("n_measures"),
+            F.round(F.sum("orbital_period_days"), 2).alias("first_measure"), F.round(F.sum("transit_depth"), 0).alias("depth"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "metrics_of_one",
+    f"SELECT * FROM ({ORACLES['evaluation_grid']}) WHERE model = 'm1' AND profile = 'f2' AND dataset IN ('test', 'all')",
+)
+def metrics_of_one(spark, sf):
+    """P10: the comparison rows of one model and profile on some datasets."""
+    return deploy.metric_rows(E.evaluation_grid(spark, sf), model="m1", profile="f2", datasets=["test", "all"])
+
+
+@query(
+    "importance_of_one",
+    f"""SELECT * FROM ({ORACLES['permutation_importance']}) WHERE dataset = 'test' AND deploy_id = '{min(E._IMP_MODELS)}'
+        ORDER BY importance_mean DESC, feature LIMIT 3""",
+)
+def importance_of_one(spark, sf):
+    """The most important features of one deployment on one dataset."""
+    return deploy.feature_importance(E.permutation_importance(spark, sf), deploy_id=min(E._IMP_MODELS), dataset="test", top_n=3)
+
+
 _GROUPS = "SELECT CAST(l_returnflag AS VARCHAR) AS flag, count(*) AS n FROM lineitem GROUP BY 1"
 
 

@@ -608,11 +608,11 @@ _F = {(i, j): _shap_state("x.amount" if i else "b.amount", "x.k" if j else "b.k"
         V.B_RAW,
         V.B,
         "x AS (SELECT event_id, ln(1 + amount) AS amount, coalesce(k, 0.0) AS k FROM b)",
-        f"b10 AS (SELECT * FROM x ORDER BY md5('{SEED}:' || event_id), event_id LIMIT 10)",
+        f"b200 AS (SELECT * FROM x ORDER BY md5('{SEED}:' || event_id), event_id LIMIT 200)",
         f"""s AS (SELECT x.event_id, x.amount, x.k, avg({_F[0, 0]}) AS base,
                 avg(({_F[1, 0]} - {_F[0, 0]} + {_F[1, 1]} - {_F[0, 1]}) / 2) AS phi_amount,
                 avg(({_F[0, 1]} - {_F[0, 0]} + {_F[1, 1]} - {_F[1, 0]}) / 2) AS phi_k
-              FROM x CROSS JOIN b10 AS b GROUP BY x.event_id, x.amount, x.k)""",
+              FROM x CROSS JOIN b200 AS b GROUP BY x.event_id, x.amount, x.k)""",
         """l AS (SELECT event_id, base, 0 AS i, 'amount' AS feature, amount AS v, phi_amount AS phi FROM s
                  UNION ALL SELECT event_id, base, 1, 'k', k, phi_k FROM s)""",
         """SELECT event_id, feature, round(v, 6) AS feature_value_raw, round(v, 6) AS feature_value_model,
@@ -626,9 +626,9 @@ def shapley_sampling(spark, sf):
     With two features a pair of opposite orders is every order, so SQL can state the result.
     """
     df = T.survey_b(spark, sf)[0].select("event_id", F.log1p("amount").alias("amount"), F.coalesce("k", F.lit(0.0)).alias("k"))
-    background = splits.background_sample(df, features=["amount", "k"], key="event_id", max_rows=10)
+    background = splits.background_sample(df, features=["amount", "k"], key="event_id")
     table = explain.sampled_attribution(
-        df, background, key="event_id", features=["amount", "k"], n_samples=60,
+        df, background, key="event_id", features=["amount", "k"],
         score=lambda frame: frame.withColumn("score", T.logistic(_SHAP)),
     )
     return rounded(table, "feature_value_raw", "feature_value_model", "shap_value", "base_value")

@@ -13,6 +13,7 @@ from sieveline.models.search import fit_model, run_search, search_summary
 from sieveline.models.stages import fit_preprocessing
 from sieveline.operators import explain, neighbors, splits
 from sieveline.operators.score import predict, rank_candidates
+from sieveline.operators.validate import split_valid, validate_rows
 from sieveline.plans import sql_views as V
 from sieveline.plans import testbed as T
 from sieveline.plans.prepare_queries import _VALID_SQL, VALIDATE_INTERVALS, _VALIDATE, inputs_to_validate, rounded
@@ -84,6 +85,27 @@ def candidate_scores(spark, sf):
     return rounded(rank_candidates(scored, key="row_id"), *_SCORES)
 
 
+def _inside(intervals):
+    tests = [f"{c} {op} {b}" for c, ends in intervals.items() for op, b in zip((">=", "<="), ends) if b is not None]
+    return " AND ".join(tests)
+
+
+@query(
+    "strict_scores",
+    with_ctes(
+        *_LOGREG,
+        f"ok AS (SELECT row_id FROM a_raw WHERE {_inside(T.INTERVALS_A)})",
+        _scored_sql("deploy_f2", "split = 'candidate' AND row_id IN (SELECT row_id FROM ok)"),
+    ),
+)
+def strict_scores(spark, sf):
+    """V5: candidates that pass validation, scored in the strict form that fails on any other."""
+    rows = T.survey_a(spark, sf)[1]
+    valid, _ = split_valid(validate_rows(rows, features=T.FEATURES_A, intervals=T.INTERVALS_A))
+    scored = predict(valid, _fitted_logreg(spark, sf), deploy_id="deploy_f2", key="row_id", features=T.FEATURES_A, intervals=T.INTERVALS_A)
+    return rounded(scored, *_SCORES)
+
+
 _BASE = " + ".join([f"w{i} * b_{f}" for i, f in enumerate(T.FEATURES_A)] + [f"w{len(T.FEATURES_A)}"])
 
 
