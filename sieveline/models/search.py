@@ -126,7 +126,7 @@ def run_search(
         F.col("model").cast("string").alias("model"), F.col("candidate_id").cast("int").alias("candidate_id"),
         F.col("fold").cast("int").alias("fold"), families.ROW_ID, "score", "label", "prediction",
     )
-    cv_results = _metrics(scores, candidates, scorers or M.SEARCH_SCORERS)
+    cv_results = candidate_metrics(scores, candidates, scorers or M.SEARCH_SCORERS)
     mean = _means(cv_results).where(F.col("metric") == refit_metric)
     top = mean.groupBy("model").agg(F.max_by("candidate_id", F.struct(F.round("value", 12), -F.col("candidate_id"))))
     params_of = {(m, i): p for m, i, p in candidates}
@@ -154,7 +154,8 @@ def fit_model(
     return PipelineModel(stages=[*prepare.stages, classifier])
 
 
-def _metrics(scores: DataFrame, candidates, scorers: Mapping[str, M.Scorer]) -> DataFrame:
+def candidate_metrics(scores: DataFrame, candidates, scorers: Mapping[str, M.Scorer]) -> DataFrame:
+    """Long table of each candidate's metrics by fold, the area under precision and recall among them."""
     keys = ["model", "candidate_id", "fold"]
     counts = confusion(scores, keys=keys)
     areas = ranking_metrics(scores, keys=keys).select(*keys, F.col("average_precision").alias("pr_auc"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sieveline.models import families
 from sieveline.models.boosting import HistBoosting
-from sieveline.models.search import fit_model, run_search, search_summary
+from sieveline.functions.metrics import SEARCH_SCORERS
+from sieveline.models.search import candidate_metrics, fit_model, run_search, search_summary
 from sieveline.models.stages import fit_preprocessing
 from sieveline.operators import explain, neighbors, splits
 from sieveline.operators.score import predict, rank_candidates
@@ -199,6 +200,39 @@ def boosted_stump(spark, sf):
     return rounded(scored.select("row_id", "score"), "score")
 
 
+# candidates whose scores SQL can state: (family, number, stand-in score)
+_CANDIDATES = [("linear", 0, "m1"), ("linear", 1, "m2"), ("steep", 0, "m2")]
+
+
+@query(
+    "search_summary",
+    with_ctes(
+        V.A_RAW, V.A, V.SCORED,
+        f"c AS (SELECT model, fold, {V.COUNTS_SQL} FROM (SELECT *, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS prediction FROM scored) GROUP BY model, fold)",
+        "s AS (SELECT model, fold, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) AS n FROM scored GROUP BY ALL)",
+        """r AS (SELECT *, sum(pos) OVER w AS cp, sum(n) OVER w AS cn, sum(pos) OVER (PARTITION BY model, fold) AS p
+                 FROM s WINDOW w AS (PARTITION BY model, fold ORDER BY score DESC))""",
+        "ap AS (SELECT model, fold, sum(pos * cp / CAST(cn AS DOUBLE)) / max(p) AS pr_auc FROM r GROUP BY model, fold)",
+        f"""m AS (SELECT model AS source, avg({V.RECALL_SQL}) AS recall, avg({V.PRECISION_SQL}) AS precision, avg({V.F2_SQL}) AS f2, avg(pr_auc) AS pr_auc
+                  FROM c JOIN ap USING (model, fold) GROUP BY model)""",
+        "k(model, candidate_id, source) AS (VALUES " + ", ".join(map(str, _CANDIDATES)) + ")",
+        "b AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(f2, 12) DESC, candidate_id) AS i FROM k JOIN m USING (source))",
+        """SELECT model, '"' || source || '"' AS source, round(f2, 6) AS best_score_refit_f2, round(recall, 6) AS best_mean_test_recall,
+             round(precision, 6) AS best_mean_test_precision, round(f2, 6) AS best_mean_test_f2, round(pr_auc, 6) AS best_mean_test_pr_auc FROM b WHERE i = 1""",
+    ),
+)
+def search_summary_of_scores(spark, sf):
+    """Metrics of candidates by fold, and the best candidate of each family."""
+    scored = T.scored_long(folded(spark, sf), keep=("row_id", "fold", "label"))
+    named = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(i).alias("candidate_id"), F.lit(s).alias("source")) for m, i, s in _CANDIDATES]))
+    scores = scored.withColumnRenamed("model", "of").select("*", named.alias("c")).where("of = c.source")
+    scores = scores.select("c.model", "c.candidate_id", "fold", "row_id", "score", "label", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("prediction"))
+    found = candidate_metrics(written(scores, "candidate-scores"), [(m, i, {"source": s}) for m, i, s in _CANDIDATES], SEARCH_SCORERS)
+    best = search_summary(found)
+    numbers = [c for c in best.columns if c.startswith("best_") and c != "best_params"]
+    return rounded(best.select("model", F.col("best_params")["source"].alias("source"), *numbers), *numbers)
+
+
 @query("model_search")
 def model_search(spark, sf):
     """M8 and A15 over two families with grouped folds."""
