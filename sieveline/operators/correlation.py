@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.exprs import null_double, number_of, numeric_columns, rows_of
-from sieveline.operators.ordering import HOT_SHARE, average_ranks
+from sieveline.operators.ordering import HOT_SHARE, running_totals
 from sieveline.session import spread, written
 
 
@@ -50,56 +50,49 @@ def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def spearman(df: DataFrame, columns: Sequence[str] | None = None, *, key: str) -> DataFrame:
     """Lower triangle of the Spearman matrix, average ranks over pairwise-complete rows.
 
-    A column is ranked once over all its rows, and again only for partners that are missing
-    on some of them. Every ranking is one `context`; all contexts go through one plan. `key`
-    is the row key that brings the ranks of a row back together.
+    Every column is ranked once. Beside the rows of a value the ranking counts those in which each
+    partner with missing values is there, and running sums of these counts are the value's ranks
+    over the rows that the pair has in common. So a row is shuffled once per column, not once per
+    pair. `key` is the row key that brings the ranks of a row back together.
     """
     columns = numeric_columns(df) if columns is None else list(columns)
     d = len(columns)
     v = [F.col(f"v{i}") for i in range(d)]
     values = df.select(F.col(key).alias("k"), *[number_of(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
     values = spread(values)
-    seen = values.agg(
-        *[
-            F.count_if(v[i].isNotNull() & v[j].isNotNull()).alias(f"n{i}_{j}")
-            for i, j in _lower_pairs(columns)
-        ]
-    ).first()
-
-    def held(i, j):
-        return seen[f"n{max(i, j)}_{min(i, j)}"]
-
-    def context(i, j):
-        return f"{i}" if held(i, j) == held(i, i) else f"{i}|{j}"
-
-    contexts = sorted({context(i, j) for i in range(d) for j in range(d)})
-    structs = []
-    for c in contexts:
-        i, _, j = c.partition("|")
-        value = v[int(i)] if not j else F.when(v[int(j)].isNotNull(), v[int(i)])
-        structs.append(F.struct(F.lit(c).alias("ctx"), value.alias("value")))
-    long = values.select("k", rows_of(structs)).where(F.col("value").isNotNull())
-    ranked = written(average_ranks(long.select("ctx", "value"), keys=["ctx"], value="value"), "ranks")
+    seen = values.agg(F.count("*").alias("n"), *[F.count(v[i]).alias(f"n{i}") for i in range(d)]).first()
+    partial = [j for j in range(d) if seen[f"n{j}"] < seen["n"]]
+    there = [v[j].isNotNull().alias(f"p{j}") for j in partial]
+    long = values.select(
+        "k", *there, rows_of([F.struct(F.lit(i).alias("ctx"), v[i].alias("value")) for i in range(d)])
+    ).where(F.col("value").isNotNull())
+    counts = {"cnt": F.count("*"), **{f"c{j}": F.count_if(F.col(f"p{j}")) for j in partial}}
+    ranked = running_totals(long, keys=["ctx"], order="value", sums=counts)
+    # ranks of the tied block run from cum - count + 1 to cum
+    place = {"cnt": "r", **{f"c{j}": f"r{j}" for j in partial}}
+    ranks = [(F.col(f"cum_{c}") - (F.col(c) - 1) / 2.0).alias(name) for c, name in place.items()]
+    ranked = written(ranked.select("ctx", "value", "cnt", *ranks), "ranks")
 
     # A frequent value would send all its rows to one task. At most HOT_SHARE values per
-    # context can each hold 1/HOT_SHARE of the rows; those ranks are broadcast.
-    total = max(1, held(0, 0) if d == 1 else max(held(i, i) for i in range(d)))
-    hot = ranked.where(F.col("cnt") > total / HOT_SHARE).select("ctx", "value", F.col("avg_rank").alias("hot_rank"))
-    marked = long.join(F.broadcast(hot), ["ctx", "value"], "left")
-    direct = marked.where(F.col("hot_rank").isNotNull()).select("k", "ctx", F.col("hot_rank").alias("r"))
-    rest = marked.where(F.col("hot_rank").isNull()).select("k", "ctx", "value")
-    cold = ranked.where(F.col("cnt") <= total / HOT_SHARE).select("ctx", "value", "avg_rank")
-    joined = rest.join(cold, ["ctx", "value"]).select("k", "ctx", F.col("avg_rank").alias("r"))
+    # column can each hold 1/HOT_SHARE of the rows; those ranks are broadcast.
+    names = list(place.values())
+    total = max(1, seen["n"])
+    hot = ranked.where(F.col("cnt") > total / HOT_SHARE).select("ctx", "value", *[F.col(n).alias(f"hot_{n}") for n in names])
+    marked = long.select("k", "ctx", "value").join(F.broadcast(hot), ["ctx", "value"], "left")
+    direct = marked.where(F.col("hot_r").isNotNull()).select("k", "ctx", *[F.col(f"hot_{n}").alias(n) for n in names])
+    rest = marked.where(F.col("hot_r").isNull()).select("k", "ctx", "value")
+    cold = ranked.where(F.col("cnt") <= total / HOT_SHARE).select("ctx", "value", *names)
+    joined = rest.join(cold, ["ctx", "value"]).select("k", "ctx", *names)
     rows = (
         direct.unionByName(joined)
         .groupBy("k")
-        .agg(*[F.max(F.when(F.col("ctx") == c, F.col("r"))).alias(f"r_{c}") for c in contexts])
+        .agg(*[F.max(F.when(F.col("ctx") == i, F.col(n))).alias(f"{n}_{i}") for i in range(d) for n in names])
     )
-    ranks = {c: F.col(f"`r_{c}`") for c in contexts}
 
     def paired(i, j):
-        here, there = ranks[context(i, j)], ranks[context(j, i)]
-        return F.when(here.isNotNull() & there.isNotNull(), here)
+        """The rank of column i among the rows that have j, in rows that have both."""
+        rank = F.col(f"r{j}_{i}" if j in partial else f"r_{i}")
+        return F.when(F.col(f"r_{i}").isNotNull() & F.col(f"r_{j}").isNotNull(), rank)
 
     return _pairs_table(rows, columns, paired, lambda i, j: paired(j, i))
 

@@ -299,3 +299,21 @@ def test_grouped_digits_are_numbers(spark):
     df = spark.createDataFrame([("1_000",), ("1__0",), ("_1",), ("1_0.5e1_0",), ("1_",)], "x string")
     rows = [(r["x"], len(r["errors"])) for r in validate.validate_rows(df, features=["x"], intervals={}).collect()]
     assert rows == [(1000.0, 0), (None, 1), (None, 1), (10.5e10, 0), (None, 1)]
+
+
+def test_spearman_with_frequent_values_and_missing_partners(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    n = 2500
+    pdf = pd.DataFrame({"a": rng.integers(0, 1500, n).astype(float), "b": rng.normal(size=n), "c": rng.normal(size=n), "none": np.nan})
+    pdf.loc[: n // 3, "a"] = 7.0  # a value on a third of the rows
+    pdf.loc[rng.random(n) < 0.4, "b"] = np.nan
+    pdf.loc[rng.random(n) < 0.2, "c"] = np.nan
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(pdf.itertuples(index=False))], "i long, a double, b double, c double, none double")
+    for r in correlation.spearman(df, list(pdf.columns), key="i").collect():
+        pair = pdf[[r["feature_i"]]].assign(y=pdf[r["feature_j"]]).dropna()
+        if pair.empty:
+            assert r["rho"] is None
+        else:
+            assert r["rho"] == pytest.approx(np.corrcoef(pair.iloc[:, 0].rank(), pair["y"].rank())[0, 1])
