@@ -62,6 +62,18 @@ def row_key(text: str = "text") -> list[Column]:
     return [F.col("doc_id"), text_key(text).alias("text_key")]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """A column name for each of `names` that `df` does not have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc_remainder(mod: int) -> Column:
     """crc32 of doc_id as text, modulo `mod`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Scratch, row_key, text_key
+from sieveline.llm.common import Scratch, fresh, row_key, text_key
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -271,6 +271,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` that leak no item, with their columns."""
     found, _ = Scratch(docs.sparkSession).write(leaks(docs, benchmark).select("doc_id", "text_key").distinct(), "leaks")
-    bad = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
+    id_, key = fresh(docs, "id", "key")
+    bad = found.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_key() == F.col(key))
     return docs.join(bad, same, "left_anti")

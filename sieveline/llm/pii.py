@@ -1,8 +1,8 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions only.
 
 Seeds are what fixed rules accept: e-mail addresses, IPv4 addresses, card numbers that pass Luhn,
-phone numbers, and quoted hexadecimal secrets. Every word with a digit is an instance; the words
-around it are its lexical patterns. Pattern and instance counts form a bipartite graph over the
+phone numbers, and quoted hexadecimal secrets. Every word with a digit or an @ is an instance, so
+whatever a rule accepts lies in one; the words around it are its lexical patterns. Pattern and instance counts form a bipartite graph over the
 whole corpus. Starting from the seeds, confidence flows from instances to the patterns they stand
 in and back for a fixed number of rounds; a pattern that is sure enough and rests on enough
 different sure instances then marks whatever stands in it, seen by the rules or not.
@@ -10,12 +10,12 @@ different sure instances then marks whatever stands in it, seen by the rules or
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Scratch, let, row_key, text_key
+from sieveline.llm.common import Scratch, fresh, let, row_key, text_key
 
 # The rules by kind, in order. Loops are possessive and a match starts where a run of
 # its characters starts or where the match before ended; neither changes what is found, and both
@@ -32,7 +32,7 @@ NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 #: Kind of what is known from its context and from no rule of its own.
 SECRET = "secret"
 SECRET_SEED = r"^[\"'][0-9a-f]{32,}[\"']"
-_WORD = r"(?:\G|(?<!\S))[^\s0-9]*+[0-9]\S*+"
+_WORD = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
 
 ROUNDS = 3
 #: A pattern's confidence is its sure occurrences over all of them plus this.
@@ -41,7 +41,10 @@ CONFIDENCE = 0.8
 #: Different sure instances a pattern must rest on.
 SUPPORT = 5
 CONTEXT_CHARS = 80
+#: A pattern or instance with over 1/HOT_SHARE of the graph's edges is looked up by broadcast.
+HOT_SHARE = 1000
 _BLOCK = 64
+_TEXT_BLOCK = 512
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -144,64 +147,102 @@ def entities(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(*row_key(), text.alias("_t"))
-    digits = F.regexp_like("_t", F.lit("[0-9]"))
+    some = F.regexp_like("_t", F.lit("[0-9@]"))
     none = F.array().cast("array<struct<start:int,end:int,hit:string,left:string,near:string>>")
     return rows.select(
         "doc_id",
         "text_key",
         *[_base(F.col("_t"), kind).alias(kind) for kind in RULES],
-        F.when(digits, let(matches(F.col("_t"), _WORD), _context)).otherwise(none).alias("instances"),
+        F.when(some, let(matches(F.col("_t"), _WORD), _context)).otherwise(none).alias("instances"),
     )
 
 
+def _place(spans: Column, below: Callable[[Column], Column]) -> Column:
+    """How many spans satisfy `below`, which no span does after one that does not: halving, so that
+    texts with many spans stay close to linear."""
+
+    def halve(range_: Column, _: Column) -> Column:
+        middle = F.floor((range_["lo"] + range_["hi"]) / 2).cast("int")
+        step = lambda m: F.when(below(F.get(spans, m)), F.struct((m + 1).alias("lo"), range_["hi"].alias("hi")))
+        return let(middle, lambda m: step(m).otherwise(F.struct(range_["lo"].alias("lo"), m.alias("hi"))))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi")), halve)["lo"]
+
+
+def _overlaps(spans: Column, m: Column) -> Column:
+    """Whether one of the ordered, disjoint spans shares a place with `m`."""
+    first = F.get(spans, _place(spans, lambda s: s["end"] <= m["start"]))
+    return (F.size(spans) > 0) & F.coalesce(first["start"] < m["end"], F.lit(False))
+
+
 def _occurrences(found: DataFrame) -> DataFrame:
-    """Each instance of each row with the kind that seeds it (null: none) and its span."""
-    rows = found.select("doc_id", "text_key", *RULES, F.explode("instances").alias("m"))
+    """Each instance of each row with the kind that seeds it (null: none) and its span.
+
+    Seeds are found before the instances become rows, so no row carries its text's span arrays.
+    An instance is named by its md5.
+    """
+
+    def seeded(m: Column) -> Column:
+        kinds = [F.when(_overlaps(F.col(kind), m), F.lit(kind)) for kind in RULES]
+        seed = F.coalesce(*kinds, F.when(F.regexp_like(m["hit"], F.lit(SECRET_SEED)), F.lit(SECRET)))
+        return F.struct(*[m[c].alias(c) for c in ("start", "end", "hit", "left", "near")], seed.alias("seed"))
+
+    rows = found.select("doc_id", "text_key", F.explode(F.transform("instances", seeded)).alias("m"))
     hit = F.col("m.hit")
-    kinds = [
-        F.when(F.exists(kind, lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start"))), F.lit(kind))
-        for kind in RULES
-    ]
-    seed = F.coalesce(*kinds, F.when(F.regexp_like(hit, F.lit(SECRET_SEED)), F.lit(SECRET)))
     lead = F.length(F.regexp_extract(hit, r"^[^\p{L}\p{N}+]*+", 0))
     tail = F.length(F.regexp_extract(hit, r"(?<![^\p{L}\p{N}])[^\p{L}\p{N}]++$", 0))
     return rows.select(
         "doc_id",
         "text_key",
-        hit.alias("instance"),
+        F.md5(hit).alias("instance"),
         F.array("m.left", "m.near").alias("patterns"),
-        seed.alias("seed"),
+        F.col("m.seed").alias("seed"),
         (F.col("m.start") + lead).alias("start"),
         (F.col("m.end") - tail).alias("end"),
     )
 
 
+def _looked_up(edges: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """`edges` with the value of their `key`; hot keys, fewer than HOT_SHARE, come by broadcast."""
+    hot = F.col(f"hot_{key}")
+    rare = edges.where(~hot).join(values.where(~hot).drop(f"hot_{key}"), key)
+    return rare.unionByName(edges.where(hot).join(F.broadcast(values.where(hot).drop(f"hot_{key}")), key))
+
+
 def sure_patterns(occurrences: DataFrame, scratch: Scratch) -> DataFrame:
     """(pattern, confidence, support, kind) of the patterns that may mark instances.
 
-    The graph holds counts per (pattern, instance), summed before the shuffle, so a pattern or an
-    instance of a third of the corpus is a few rows. A seeded instance has confidence 1 throughout;
-    another gets the mean of its patterns, weighted by how often it stands in each.
+    The graph holds counts per (pattern, instance), summed before the shuffle. A pattern with many
+    instances, or an instance in many patterns, is summed in part before each shuffle and gets its
+    value by broadcast. A seeded instance has confidence 1 throughout; another gets the mean of its
+    patterns, weighted by how often it stands in each. Support counts the instances that a rule
+    seeds and those that the rounds made as sure as a pattern must be.
     """
     edges = (
         occurrences.select(F.explode("patterns").alias("pattern"), "instance", "seed")
         .groupBy("pattern", "instance")
         .agg(F.count(F.lit(1)).alias("n"), F.count("seed").alias("seeded"), F.min("seed").alias("kind"))
     )
-    edges, path = scratch.write(edges, "pii-graph")
-    score = edges.withColumn("sure", F.col("seeded") / F.col("n")).select("pattern", "instance", "n", "kind", "sure", "seeded")
+    counted, counted_path = scratch.write(edges, "pii-counts")
+    n_edges = counted.count()
+    marked = counted
+    for key in ("pattern", "instance"):
+        # fewer than HOT_SHARE keys can have more than that share of the edges each
+        hot = counted.groupBy(key).count().where(F.col("count") * HOT_SHARE > n_edges).select(key, F.lit(True).alias("hot"))
+        marked = marked.join(F.broadcast(hot), key, "left").withColumn(f"hot_{key}", F.coalesce("hot", F.lit(False))).drop("hot")
+    edges, path = scratch.write(marked, "pii-graph")
+    scratch.drop(counted_path)
+    score = edges.withColumn("sure", F.col("seeded") / F.col("n"))
     for _ in range(ROUNDS):
-        patterns = score.groupBy("pattern").agg(
+        patterns = score.groupBy("pattern", "hot_pattern").agg(
             (F.sum(F.col("n") * F.col("sure")) / (F.sum("n") + PRIOR)).alias("confidence")
         )
-        flow = edges.join(patterns, "pattern").groupBy("instance").agg(
+        flow = _looked_up(edges, patterns, "pattern").groupBy("instance", "hot_instance").agg(
             (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("reached")
         )
-        score = edges.join(flow, "instance").select(
-            "pattern", "instance", "n", "kind", "seeded",
-            F.greatest(F.col("seeded") / F.col("n"), "reached").alias("sure"),
-        )
-    known = F.col("seeded") > 0
+        score = _looked_up(edges, flow, "instance").withColumn("sure", F.greatest(F.col("seeded") / F.col("n"), "reached"))
+    known = (F.col("seeded") > 0) | (F.col("sure") >= CONFIDENCE)
     patterns = (
         score.groupBy("pattern")
         .agg(
@@ -272,44 +313,58 @@ def _spelled(kind: str):
     return lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"])
 
 
+def _joined(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from `start` to `end`, from the blocks that hold it."""
+    first = F.floor(start / _TEXT_BLOCK).cast("int")
+    held = F.slice(blocks, first + 1, F.floor(end / _TEXT_BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(held, ""), start % _TEXT_BLOCK + 1, end - start)
+
+
 def mask(docs: DataFrame) -> DataFrame:
     """`docs` with each stretch of found spans replaced by its first kind, as <EMAIL>.
 
-    n_chars, if there, becomes the new length. Spans that touch or overlap are one stretch. Rows
+    n_chars, if there, becomes the new length. Spans that overlap are one stretch. Rows
     meet their spans by id and text, so repeated rows are masked alike.
     """
     found = find(docs)
-    all_spans = reduce(
-        lambda a, b: F.concat(a, b),
-        [F.transform(kind, _with_kind(kind)) for kind in RULES],
-        F.transform(
-            F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>")),
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")),
-        ),
-    )
+    more = F.coalesce("more", F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    arrays = [F.transform(kind, _with_kind(kind)) for kind in RULES]
+    arrays.append(F.array_sort(F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))))
+    names = [f"s{i}" for i in range(len(arrays))]  # the spans of one name are ordered and disjoint
+    spans = found.select("doc_id", "text_key", *[a.alias(n) for a, n in zip(arrays, names)])
+    spans = spans.select("*", F.array_sort(F.concat(*names)).alias("spans")).where(F.size("spans") > 0)
+
+    def reach(start: Column) -> Column:
+        """Where the spans before `start` end."""
+        ends = [F.coalesce(F.get(n, _place(F.col(n), lambda s: s["start"] < start) - 1)["end"], F.lit(0)) for n in names]
+        return F.greatest(*ends)
+
+    def placed(s: Column, i: Column) -> Column:
+        again = (i > 0) & (F.get("spans", i - 1)["start"] == s["start"])
+        return F.struct(reach(s["start"]).alias("after"), s["start"].alias("start"), s["kind"].alias("kind"), again.alias("again"))
+
+    stretches = F.filter(F.transform("spans", placed), lambda s: ~s["again"] & (s["start"] >= s["after"]))
+    ends = F.greatest(*[F.coalesce(F.get(n, F.size(n) - 1)["end"], F.lit(0)) for n in names])
+    id_, key, marks = fresh(docs, "id", "key", "marks")
+    found_marks = spans.select(
+        F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.struct(stretches.alias("stretches"), ends.alias("end")).alias(marks)
+    ).dropDuplicates([id_, key])
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_key() == F.col(key))
+
+    def rewritten(blocks: Column) -> Column:
+        pieces = F.transform(
+            F.col(marks)["stretches"],
+            lambda s: F.concat(_joined(blocks, s["after"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
+        )
+        return F.concat(F.array_join(pieces, ""), _joined(blocks, F.col(marks)["end"], F.length("text")))
 
-    def stretch(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        joins = (F.size(acc) > 0) & (s["start"] < F.try_element_at(acc, F.lit(-1))["end"])
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(s)))
-
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    merged = F.aggregate(F.array_sort(all_spans), empty, stretch)
-    marks = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), merged.alias("_s"))
-    marks = marks.where(F.size("_s") > 0).dropDuplicates(["_id", "_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-
-    def piece(s: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.get(F.col("_s"), i - 1)["end"]).otherwise(0)
-        return F.concat(F.substring(F.col("text"), begin + 1, s["start"] - begin), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-
-    rest = F.substring(F.col("text"), F.element_at("_s", -1)["end"] + 1, F.length("text"))
-    masked = F.when(F.col("_s").isNotNull(), F.concat(F.array_join(F.transform("_s", piece), ""), rest)).otherwise(F.col("text"))
-    out = docs.join(marks, same, "left").withColumn("text", masked)
+    blocks = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_TEXT_BLOCK}}}+"), F.lit(0))
+    masked = F.when(F.col(marks).isNotNull(), let(blocks, rewritten)).otherwise(F.col("text"))
+    out = docs.join(found_marks, same, "left").withColumn("text", masked)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_s").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        length = F.when(F.col(marks).isNotNull(), F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return out.drop(id_, key, marks)
 
 
 def _with_kind(kind: str):

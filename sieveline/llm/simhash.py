@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm.common import Scratch, row_key, text_key
+from sieveline.llm.common import Scratch, fresh, row_key, text_key
 from sieveline.llm.components import components
 
 #: Fingerprints in one segment bucket above which pairs are not enumerated.
@@ -176,10 +176,11 @@ def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 2, segments: int =
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = found.where(first).groupBy("component", "component_id", "text_key").count()
     kept = kept.groupBy("component", "component_id").agg(F.min(F.struct("text_key", "count")).alias("k"))
-    kept = kept.select(F.col("component_id").alias("_id"), F.col("k.text_key").alias("_key"), F.col("k.count").alias("_n"))
+    id_, key, n = fresh(docs, "id", "key", "n")
+    kept = kept.select(F.col("component_id").alias(id_), F.col("k.text_key").alias(key), F.col("k.count").alias(n))
     kept, _ = Scratch(docs.sparkSession).write(kept, "kept")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key() == F.col("_key"))
-    if kept.where("_n > 1").isEmpty():
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (text_key() == F.col(key))
+    if kept.where(F.col(n) > 1).isEmpty():
         return docs.join(kept, same, "left_semi")
-    alone = docs.join(kept.where("_n = 1"), same, "left_semi")
-    return alone.unionByName(docs.join(kept.where("_n > 1"), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    alone = docs.join(kept.where(F.col(n) == 1), same, "left_semi")
+    return alone.unionByName(docs.join(kept.where(F.col(n) > 1), same, "left_semi").dropDuplicates(["doc_id", "text"]))

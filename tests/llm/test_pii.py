@@ -103,3 +103,72 @@ def test_contexts_find_what_no_rule_knows(spark):
     for i, h in enumerate(hexes):
         kind, a, b = found[i].split(":")
         assert kind == "secret" and text[i][int(a) : int(b)] == h
+
+
+def test_many_spans_in_one_text(spark):
+    """Quadratic work on 40,000 addresses would need some gigabytes and minutes."""
+    one = "".join(f"u{i}@v.w " for i in range(40000))
+    mixed = "".join(f"x{i} +49 30 1234{i:05d}\n10.0.0.{i % 250} é " for i in range(4000))
+    docs = local_frame(spark, [(1, one), (2, mixed), (3, "é" * 1500 + " a1@b.c " + "日" * 1500)], "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
+    assert masked[1] == "<EMAIL> " * 40000
+    assert masked[3] == "é" * 1500 + " <EMAIL> " + "日" * 1500
+    want, end, out = sorted((a, b, k) for k, own in base(mixed).items() for a, b in own), 0, []
+    for a, b, k in want:
+        if a >= end:
+            out += [mixed[end:a], f"<{k.upper()}>"]
+        end = max(end, b)
+    assert masked[2] == "".join(out) + mixed[end:]
+
+
+def test_overlaps_of_ordered_spans(spark):
+    spans = [(3, 5), (5, 6), (9, 14)]
+    rows = [(a, b) for a in range(0, 17) for b in range(a + 1, 18)]
+    held = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in spans])
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    df = local_frame(spark, rows, "start int, end int").select("*", F.struct("start", "end").alias("m"))
+    for r in df.select("start", "end", pii._overlaps(held, F.col("m")).alias("met"), pii._overlaps(none, F.col("m")).alias("no")).collect():
+        assert r["met"] == any(a < r["end"] and b > r["start"] for a, b in spans) and r["no"] is False
+
+
+def test_addresses_without_a_digit_are_seeds(spark):
+    names = ["anna", "bert", "cora", "dirk", "emil", "fred", "gina", "hugo", "ines", "jens"]
+    rows = [(i, f"write to the clerk at {n}@mail.example") for i, n in enumerate(names)] + [(50, "write to the clerk at q7x(at)mail.example")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find(local_frame(spark, rows, "doc_id long, text string")).select("doc_id", pii.listed(True).alias("spans")).collect()}
+    assert found[50] == "email:22:41"
+    assert all(found[i] == f"email:22:{22 + len(n) + 13}" for i, n in enumerate(names))
+
+
+def test_the_graph_at_hot_keys_equals_a_plain_one(spark, monkeypatch):
+    """Every pattern and instance hot, or none: the same patterns; and the rounds restated in Python."""
+    rows = []
+    for i in range(60):
+        seeded = i % 5 != 0
+        rows.append((i, f"i{i % 23}", [f"p{i % 3}", f"q{i % 7}"], "email" if seeded else None))
+    occurrences = local_frame(spark, rows, "doc_id long, instance string, patterns array<string>, seed string")
+    got = []
+    for share in (1, 1000):
+        monkeypatch.setattr(pii, "HOT_SHARE", share)
+        frame = pii.sure_patterns(occurrences, pii.Scratch(spark))
+        got.append({r["pattern"]: (round(r["confidence"], 9), r["support"], r["kind"]) for r in frame.collect()})
+    assert got[0] == got[1]
+    n, seeded = {}, {}
+    for _, x, patterns, seed in rows:
+        for p in patterns:
+            n[p, x] = n.get((p, x), 0) + 1
+            seeded[p, x] = seeded.get((p, x), 0) + (seed is not None)
+    sure = {e: seeded[e] / n[e] for e in n}
+
+    def confidence():
+        return {p: sum(n[e] * sure[e] for e in n if e[0] == p) / (sum(n[e] for e in n if e[0] == p) + pii.PRIOR) for p, _ in n}
+
+    for _ in range(pii.ROUNDS):
+        of = confidence()
+        reached = {x: sum(n[e] * of[e[0]] for e in n if e[1] == x) / sum(n[e] for e in n if e[1] == x) for _, x in n}
+        sure = {e: max(seeded[e] / n[e], reached[e[1]]) for e in n}
+    want = {}
+    for p, c in confidence().items():
+        support = sum(e[0] == p and (seeded[e] > 0 or sure[e] >= pii.CONFIDENCE) for e in n)
+        if c >= pii.CONFIDENCE and support >= pii.SUPPORT:
+            want[p] = (round(c, 9), support, "email")
+    assert want and got[1] == want
