@@ -429,7 +429,34 @@ _IMP_MODELS = {"deploy_f2": ("m1", "f2", 0.5), "deploy_recall": ("m2", "recall_c
 _METRIC_SQL = {"f2": V.F2_SQL, "recall": V.RECALL_SQL, "precision": V.PRECISION_SQL}
 
 
-def _importance_sql():
+#: Rows of a block where importance is shuffled within blocks: several blocks also in small tables.
+BLOCK_ROWS = 500
+
+_WHOLE_SHUFFLE = (
+    f"""ids AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('{SEED}:' || row_id), row_id) - 1 AS idx,
+                      count(*) OVER (PARTITION BY dataset) AS n FROM sets)""",
+    f"""par AS (SELECT *, ({_maps_sql('n')} * idx + CAST(rep + 1 AS BIGINT) * {(SEED + 1) * importance.SHIFT} % n) % n AS donor
+                    FROM ids CROSS JOIN (SELECT CAST(range AS INTEGER) AS rep FROM range({REPEATS})))""",
+    "met AS (SELECT par.*, "
+    + ", ".join(f"ids.{f} AS d_{f}" for f in A_COLS)
+    + " FROM par JOIN ids ON ids.dataset = par.dataset AND ids.idx = par.donor)",
+)
+_BLOCK_SHUFFLE = (
+    f"""hashed AS (SELECT *, md5('{SEED}:' || row_id) AS h,
+                      CAST(ceil(count(*) OVER (PARTITION BY dataset) / {BLOCK_ROWS}.0) AS BIGINT) AS n_blocks FROM sets)""",
+    "dealt AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % n_blocks AS block FROM hashed)",
+    """ids AS (SELECT *, row_number() OVER (PARTITION BY dataset, block ORDER BY h, row_id) - 1 AS idx,
+                      count(*) OVER (PARTITION BY dataset, block) AS n FROM dealt)""",
+    f"""par AS (SELECT *, ({_maps_sql('n')} * idx
+                      + (CAST(rep + 1 AS BIGINT) * {(SEED + 1) * importance.SHIFT} + block * {importance.SHIFT}) % n) % n AS donor
+                    FROM ids CROSS JOIN (SELECT CAST(range AS INTEGER) AS rep FROM range({REPEATS})))""",
+    "met AS (SELECT par.*, "
+    + ", ".join(f"ids.{f} AS d_{f}" for f in A_COLS)
+    + " FROM par JOIN ids ON ids.dataset = par.dataset AND ids.block = par.block AND ids.idx = par.donor)",
+)
+
+
+def _importance_sql(shuffle=_WHOLE_SHUFFLE):
     parts = []
     for deploy_id, (model, profile, cut) in _IMP_MODELS.items():
         variants = " UNION ALL ".join(
@@ -455,13 +482,7 @@ def _importance_sql():
         V.FOLDS,
         """sets AS (SELECT a.*, CASE WHEN fold = 0 THEN 'test' ELSE 'train' END AS dataset FROM a JOIN folds USING (group_id)
                     UNION ALL SELECT a.*, 'all' FROM a)""",
-        f"""ids AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY md5('{SEED}:' || row_id), row_id) - 1 AS idx,
-                      count(*) OVER (PARTITION BY dataset) AS n FROM sets)""",
-        f"""par AS (SELECT *, ({_maps_sql('n')} * idx + CAST(rep + 1 AS BIGINT) * {(SEED + 1) * importance.SHIFT} % n) % n AS donor
-                    FROM ids CROSS JOIN (SELECT CAST(range AS INTEGER) AS rep FROM range({REPEATS})))""",
-        "met AS (SELECT par.*, "
-        + ", ".join(f"ids.{f} AS d_{f}" for f in A_COLS)
-        + " FROM par JOIN ids ON ids.dataset = par.dataset AND ids.idx = par.donor)",
+        *shuffle,
         f"imp0 AS ({' UNION ALL '.join(parts)})",
         """imp AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY deploy_id, dataset ORDER BY importance_mean DESC) AS INTEGER) AS importance_rank,
                    CAST(20 AS INTEGER) AS n_repeats FROM (SELECT deploy_id, model_name, profile, threshold, dataset, feature, scoring,
@@ -469,7 +490,7 @@ def _importance_sql():
     )
 
 
-def importance_a(spark, sf):
+def importance_a(spark, sf, block_rows=None):
     df = written(folded_a(spark, sf), "folds")
     sets = combine_sets(
         {"test": df.where("fold = 0"), "train": df.where("fold <> 0")}, combined="all"
@@ -483,7 +504,7 @@ def importance_a(spark, sf):
         }
         for d, (m, p, t) in _IMP_MODELS.items()
     }
-    return importance.permutation_importance(sets, deployments, key="row_id", features=A_COLS, n_repeats=REPEATS)
+    return importance.permutation_importance(sets, deployments, key="row_id", features=A_COLS, n_repeats=REPEATS, block_rows=block_rows)
 
 
 @query(
@@ -498,6 +519,18 @@ def permutation_importance(spark, sf):
     return rounded(importance_a(spark, sf), "importance_mean", "importance_std")
 
 
+@query(
+    "importance_in_blocks",
+    with_ctes(
+        *_importance_sql(_BLOCK_SHUFFLE),
+        """SELECT deploy_id, model_name, profile, threshold, dataset, feature, round(importance_mean, 6) AS importance_mean,
+             round(importance_std, 6) AS importance_std, n_repeats, scoring, importance_rank FROM imp""",
+    ),
+)
+def importance_in_blocks(spark, sf):
+    return rounded(importance_a(spark, sf, block_rows=BLOCK_ROWS), "importance_mean", "importance_std")
+
+
 @query(
     "importance_matrix",
     with_ctes(

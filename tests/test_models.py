@@ -252,6 +252,31 @@ def test_importance_of_constant_and_unused_features_is_zero(spark, rows):
         importance.permutation_importance(sets, spec, key="row_id", features=["a", "flat"], n_repeats=1, scorers={"f2": M.f2})
 
 
+def test_block_pairs_permute_each_block_with_one_shuffle(spark):
+    df = spark.range(3000).select(
+        F.when(F.col("id") < 2500, "big").otherwise("small").alias("dataset"), "id", (F.col("id") % 2).alias("label"),
+        (F.col("id") * 1.5).alias("x"), F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("y"),
+    )
+    plain, met = importance.block_pairs(df, key="id", features=["x", "y"], label="label", n_repeats=20, block_rows=500)
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(dataset") == 2  # rows, and their counts
+    rows = met.collect()
+    assert plain.count() == 3000 and len(rows) == 60000
+    orders = set()
+    for r in range(20):
+        for d, ids in (("big", range(2500)), ("small", range(2500, 3000))):
+            got = sorted((o["idx"], o["x"], o["__d_x"], o["__d_y"]) for o in rows if o["repeat"] == r and o["dataset"] == d)
+            assert [g[0] for g in got] == list(ids) and sorted(g[2] for g in got) == [1.5 * i for i in ids]
+            assert all(x == 1.5 * i and y == (str(int(dx / 1.5)) if dx / 1.5 % 3 else None) for i, x, dx, y in got)
+            orders.add(tuple(g[2] for g in got))
+    assert len(orders) == 40
+    _, alone = importance.block_pairs(df.drop("dataset"), key="id", features=["x"], label="label", groups=(), n_repeats=2)
+    assert alone.count() == 6000
+    for frame in (df, df.drop("dataset")):
+        groups = [c for c in ("dataset",) if c in frame.columns]
+        _, none = importance.block_pairs(frame.limit(0), key="id", features=["x"], label="label", groups=groups)
+        assert none.count() == 0
+
+
 def brute_shapley(fn, x, background):
     d = len(x)
     phi = np.zeros(d)
