@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 #: Words kept by one Python worker; beyond it the cache starts anew. It changes speed only.
 CACHE_WORDS = 600_000
-ENCODED_BYTES = 6 << 20
+ENCODED_BYTES = 12 << 20
 
 # Words of these characters alone are split as the file's own pre-tokenizer splits them; all other
 # words pass through the whole tokenizer. The contractions and classes are fixed values of the file.
@@ -57,7 +57,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        odd = pc.invert(self._plain(pa.array(words))).to_pylist()
+        odd = pc.invert(self._plain(pa.array(words, pa.string()))).to_pylist()
         self.words.update((w, self._whole(w)) for w, o in zip(words, odd) if o)
         plain = [w for w, o in zip(words, odd) if not o]
         for at in range(0, len(plain), 4096):
@@ -86,16 +86,15 @@ class Encoder:
     def _table(self, words: list[str]) -> list[bytes]:
         if len(self.words) > self.limit:
             self.words, self.old = {"": b""}, self.words
-        missing = []
-        for word in words:
-            if word not in self.words:
-                if word in self.old:
-                    self.words[word] = self.old[word]
-                else:
-                    missing.append(word)
-        if missing:
-            self._learn(missing)
-        return list(map(self.words.__getitem__, words))
+        found = list(map(self.words.get, words))
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        if unseen:
+            kept = [self.old.get(words[i]) for i in unseen]
+            self.words.update((words[i], ids) for i, ids in zip(unseen, kept) if ids is not None)
+            self._learn([words[i] for i, ids in zip(unseen, kept) if ids is None])
+            for i in unseen:
+                found[i] = self.words[words[i]]
+        return found
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a string array; none for a null or blank one."""
@@ -103,14 +102,10 @@ class Encoder:
         split = pc.replace_substring_regex(pc.utf8_lower(texts), _LETTER_MARK, r"\1 \2")
         lists = pc.ascii_split_whitespace(pc.if_else(self._plain(texts), split, texts))
         words = lists.flatten().dictionary_encode()
-        known = self._table(words.dictionary.to_pylist())
-        size = np.array([len(k) for k in known], np.int64) // self.dtype.itemsize
-        start = np.cumsum(size) - size
-        at = words.indices.to_numpy()
-        size_of = size[at]
-        ends = np.concatenate([[0], np.cumsum(size_of)])
-        table = np.frombuffer(b"".join(known), self.dtype)
-        flat = table[np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], size_of)]
+        known = pa.array(self._table(words.dictionary.to_pylist()), pa.large_binary())
+        _, offsets, data = known.take(words.indices).buffers()  # the ids of all words, one after another
+        flat = np.frombuffer(data if data is not None else b"", self.dtype)
+        ends = np.frombuffer(offsets, np.int64) // self.dtype.itemsize
         bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()].tolist()
         return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
 
