@@ -27,21 +27,28 @@ _BLOCKS = frozenset(
     "th thead tr ul label".split()
 )
 _SILENT = "script style noscript template title textarea select button svg math iframe object canvas audio video".split()
+# Of these, the ones that nothing follows where the tag itself ends in a slash.
+_CLOSABLE = "svg math button select object canvas audio video template noscript".split()
 _EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FRAMES = frozenset("nav footer aside form menu dialog header".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Words in a class, id or role that tell what is not the main text.
 _HINTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|"
+    r"(?:^|[\s_-])(?<!has[_-])(?<!with[_-])(?<!no[_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promos?|promotions?|banners?|cookies?|consent|gdpr|"
     r"notices?|alerts?|popups?|modals?|overlay|newsletters?|subscribe|subscription|signup|login|sidebars?|widgets?|related|"
     r"recommend(?:ed|ations?)?|shar(?:e|ing)|social|menus?|nav|navbar|navigation|navigations|breadcrumbs?|pagination|pager|comments?|disqus|"
     r"repl(?:y|ies)|respond|footers?|masthead|toolbar|copyright|legal|disclaimers?|contentinfo|complementary|search|skip)(?:$|[\s_-])",
     re.I,
 )
+# Those of them that count on an article or main element too, which notices and the like may be about.
+_ARTICLE_HINTS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|sponsor(?:ed|s)?|promos?|related|recommend(?:ed|ations?)?|comments?|disqus|repl(?:y|ies))(?:$|[\s_-])", re.I
+)
 _MAIN = re.compile(r"(?:^|\s)main(?:$|\s)", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
+    rf"|<(?:{'|'.join(_CLOSABLE)})(?=[\s/])[^>]*+(?<=/)>"
     rf"|<({'|'.join(_SILENT)})(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)"
     r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+)(?:>|\Z)"""
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)"
@@ -74,21 +81,27 @@ def blocks(page: str | None) -> list[tuple[str, float, bool, bool, bool, bool]]:
     open_: list[tuple[str, int, int, int, int]] = []
     counts: dict[str, int] = {}
     framed = hinted = main = heading = links = 0
-    block = _Block()
+    paragraph = False  # whether the paragraph's own class or id tells that it is not main text
+    block, around = _Block(), None  # around: the block that a telling inline element interrupts
     page = page or ""
 
-    def close():
-        nonlocal block
-        text = " ".join("".join(block.parts).split())
+    def emit(done: _Block):
+        text = " ".join("".join(done.parts).split())
         if text:
             words = text.count(" ") + 1
-            out.append((text, min(1.0, block.linked / words), block.framed, block.hinted, block.main, block.heading))
-        block = _Block()
+            out.append((text, min(1.0, done.linked / words), done.framed, done.hinted, done.main, done.heading))
+
+    def close():
+        nonlocal block, around, paragraph
+        emit(block)
+        if around is not None:
+            emit(around)
+        block, around, paragraph = _Block(), None, False
 
     def add(raw: str):
         text = entities.unescape(raw)
         if not block.parts or not "".join(block.parts).strip():
-            block.framed, block.hinted, block.main, block.heading = framed > 0, hinted > 0, main > 0, heading > 0
+            block.framed, block.hinted, block.main, block.heading = framed > 0, hinted > 0 or paragraph, main > 0, heading > 0
         block.parts.append(text)
         if links:
             block.linked += len(text.split())
@@ -124,16 +137,25 @@ def blocks(page: str | None) -> list[tuple[str, float, bool, bool, bool, bool]]:
                     framed, hinted, main, heading = was
                     if last == tag:
                         break
-        elif tag != "p":
-            open_.append((tag, framed, hinted, main, heading))
-            counts[tag] = counts.get(tag, 0) + 1
+                if around is not None and not hinted:
+                    emit(block)
+                    block, around = around, None
+        else:
             attributes = token[4] if token[3] else token[7]
             found = [(m[1].lower(), m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)] if attributes else []
+            if tag == "p":
+                paragraph = any(_HINTS.search(v) for _, v in found)
+                continue
+            open_.append((tag, framed, hinted, main, heading))
+            counts[tag] = counts.get(tag, 0) + 1
             if tag in ("article", "main") or any(k == "role" and _MAIN.search(v) for k, v in found):
                 main += 1
             if tag in _FRAMES and not (tag == "header" and main):
                 framed += 1
-            if tag not in ("html", "body") and any(_HINTS.search(v) for _, v in found):
+            telling = _ARTICLE_HINTS if tag in ("article", "main") else _HINTS
+            if tag not in ("html", "body") and any(telling.search(v) for _, v in found):
+                if tag == "span" and not hinted and not paragraph:
+                    block, around = _Block(), block
                 hinted += 1
             if tag in _HEADINGS:
                 heading += 1

@@ -55,6 +55,11 @@ BODY = "A paragraph of the article with more than a few words in it."
         (f'<article><p>{BODY}</p><div class="user-comments"><p>{BODY} says a reader</p></div><form>mail <input type="text"></form></article>', BODY),
         (f'<div id="cookie-notice">{BODY}</div><article><p>{BODY}</p></article><div class="ad-box">{BODY}</div><aside>{BODY}</aside>', BODY),
         (f"<article><p>{BODY}<script>never closed", BODY),
+        (f'<article><p>{BODY} <svg class="i"/>more <math/>and<button disabled />more</p><svg><text>no</text></svg><p>x</p></article>', f"{BODY} more andmore\nx"),
+        (f'<article class="legal"><p>{BODY}</p><p class="ad">{BODY}</p><p>x</p><p id="comment">{BODY}</p></article>', f"{BODY}\nx"),
+        (f'<article class="post-notice"><p>{BODY} <span class="ad">Buy</span>two.</p></article><article class="comment">{BODY}</article>', f"{BODY} two."),
+        (f'<div class="content has-sidebar"><article><p><span class="ad">Buy <b>now</b></span>{BODY}</p></article></div>', BODY),
+        (f'<article><p>{BODY} <span class="ad">one <span>two</span><p>{BODY}</span>three</article>', f"{BODY}"),
     ],
 )
 def test_cases(tree, page, want):
