@@ -1,8 +1,8 @@
 """Packing of documents into training windows by order-preserving dynamic programming.
 
 Documents follow each other by doc_id. A window is cut after a document (free), after a sentence
-or, where neither comes soon enough, inside one (both at a price in padded places). The cheapest
-cuts minimise padding plus these prices:
+or, where neither comes soon enough, inside one (both at a price in padded places). Every end of a
+document or sentence is a possible cut, and the cheapest cuts minimise padding plus these prices:
 
     cost[j] = price[j] + min over i of cost[i] + padding(at[j] - at[i]),  at[j] - at[i] <= size
 
@@ -29,12 +29,8 @@ from sieveline.session import ship_package
 #: Prices of a cut, in padded places.
 SENTENCE_CUT = 4.0
 INNER_CUT = 24.0
-#: Of the sentences that end in one stretch of so many places, the first one's end is a possible cut.
-SENTENCE_STEP = 32
 #: Places between possible cuts inside a sentence.
 INNER_STEP = 128
-#: The shortest length whose missing padding is made use of.
-LEAST_POWER = 64
 #: Ids that are solved together; what follows the last cut is carried into the next block.
 BLOCK_IDS = 1 << 20
 SENTENCE_END = r"[.!?]+[\"')\]]*(</w>)?$"
@@ -49,7 +45,7 @@ def cuts(at: np.ndarray, price: np.ndarray, size: int, last: bool = True) -> lis
     """
     n = len(at)
     exact: dict[int, list[int]] = {}
-    power = LEAST_POWER
+    power = 1
     while power < size:
         i = np.searchsorted(at, at - power)
         for j in np.nonzero((at >= power) & (at[np.minimum(i, n - 1)] == at - power))[0].tolist():
@@ -87,8 +83,6 @@ def cuts(at: np.ndarray, price: np.ndarray, size: int, last: bool = True) -> lis
 def places(ends: np.ndarray, doc_ends: np.ndarray, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Possible cuts and their prices: documents' ends, sentences' ends, steps inside long gaps."""
     step = min(INNER_STEP, size)
-    cells = ends // SENTENCE_STEP
-    ends = ends[np.diff(cells, prepend=-1) > 0]
     at = np.unique(np.concatenate([[0], ends, doc_ends, [total]]).astype(np.int64))
     gaps = np.diff(at)
     extra = [np.arange(at[g] + step, at[g + 1], step) for g in np.nonzero(gaps > step)[0]]

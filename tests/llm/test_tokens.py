@@ -134,8 +134,7 @@ def test_packing_edge_cases(spark, plain, size, block):
     assert packing.pack(docs.limit(0), tokenizer_path(), 1, size, block).count() == 0
 
 
-def test_cuts_are_the_cheapest(monkeypatch):
-    monkeypatch.setattr(packing, "LEAST_POWER", 1)
+def test_cuts_are_the_cheapest():
     rng = random.Random(1)
     for size in (16, 20, 64):
         for _ in range(40):
@@ -157,3 +156,25 @@ def test_cuts_are_the_cheapest(monkeypatch):
                 paid += price[j] + (0 if n & (n - 1) == 0 else size - n)
                 last = j
             assert found[-1] == len(at) - 1 and paid == pytest.approx(cost[-1])
+
+
+def test_all_ends_of_documents_and_sentences_are_weighed():
+    """places and cuts together against the cheapest choice over every end, one place at a time"""
+    rng = np.random.default_rng(3)
+    for size, mean in ((16, 3), (64, 9), (256, 200)):
+        for _ in range(8):
+            total = 700
+            ends = np.unique(rng.integers(1, total, total // mean))
+            docs = np.append(rng.choice(ends, min(len(ends), 5), replace=False), total)
+            docs.sort()
+            at, price = packing.places(ends, docs, total, size)
+            assert set(ends) | set(docs) | {0} <= set(at) and np.diff(at).max() <= min(size, packing.INNER_STEP)
+            of = dict(zip(at.tolist(), price.tolist()))
+            assert all(of[e] == (0.0 if e in docs else packing.SENTENCE_CUT) for e in ends.tolist())
+            cost = {0: 0.0}
+            for j in at.tolist()[1:]:
+                cost[j] = min(c + of[j] + (0 if (j - i) & (j - i - 1) == 0 else size - j + i) for i, c in cost.items() if j - i <= size)
+            bounds = at[[0, *packing.cuts(at, price, size)]]
+            gaps = np.diff(bounds).tolist()
+            paid = sum(of[b] for b in bounds[1:].tolist()) + sum(0 if n & (n - 1) == 0 else size - n for n in gaps)
+            assert bounds[-1] == total and max(gaps) <= size and paid == pytest.approx(cost[total])
