@@ -44,13 +44,21 @@ def cuts(at: np.ndarray, price: np.ndarray, size: int, last: bool = True) -> lis
     those so near the end that no whole window follows.
     """
     n = len(at)
-    exact: dict[int, list[int]] = {}
+    index = np.full(int(at[-1]) + 1, -1, np.int32)
+    index[at] = np.arange(n)
+    starts, stops = [], []  # of the transitions whose length is a power of two
     power = 1
     while power < size:
-        i = np.searchsorted(at, at - power)
-        for j in np.nonzero((at >= power) & (at[np.minimum(i, n - 1)] == at - power))[0].tolist():
-            exact.setdefault(j, []).append(int(i[j]))
+        first = int(np.searchsorted(at, power))
+        i = index[at[first:] - power]
+        hit = np.flatnonzero(i >= 0)
+        starts.append(i[hit])
+        stops.append(hit + first)
         power *= 2
+    starts, stops = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (starts, stops))
+    order = np.argsort(stops, kind="stable")
+    from_, to = starts[order].tolist(), [*stops[order].tolist(), n]
+    exact = 0
     places, prices = at.tolist(), price.tolist()
     cost, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(0.0, 0)])
@@ -60,9 +68,11 @@ def cuts(at: np.ndarray, price: np.ndarray, size: int, last: bool = True) -> lis
             queue.popleft()
         least, i = queue[0]
         best = least + size - here
-        for k in exact.get(j, ()):
+        while to[exact] == j:
+            k = from_[exact]
             if cost[k] < best:
                 best, i = cost[k], k
+            exact += 1
         cost[j] = best = best + prices[j]
         back[j] = i
         key = best + here
@@ -83,13 +93,18 @@ def cuts(at: np.ndarray, price: np.ndarray, size: int, last: bool = True) -> lis
 def places(ends: np.ndarray, doc_ends: np.ndarray, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Possible cuts and their prices: documents' ends, sentences' ends, steps inside long gaps."""
     step = min(INNER_STEP, size)
-    at = np.unique(np.concatenate([[0], ends, doc_ends, [total]]).astype(np.int64))
-    gaps = np.diff(at)
-    extra = [np.arange(at[g] + step, at[g + 1], step) for g in np.nonzero(gaps > step)[0]]
-    every = np.unique(np.concatenate([at, *extra])) if extra else at
-    price = np.where(np.isin(every, at, assume_unique=True), SENTENCE_CUT, INNER_CUT)
-    price[np.isin(every, doc_ends)] = 0.0
-    return every, price
+    known = np.zeros(total + 1, bool)
+    known[ends] = known[doc_ends] = known[[0, total]] = True
+    at = np.flatnonzero(known)
+    more = (np.diff(at) - 1) // step
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    inner = np.repeat(at[:-1], more) + (nth + 1) * step
+    cost = np.full(total + 1, SENTENCE_CUT)
+    cost[inner] = INNER_CUT
+    cost[doc_ends] = 0.0
+    known[inner] = True
+    every = np.flatnonzero(known)
+    return every, cost[every]
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, block_ids: int = BLOCK_IDS) -> DataFrame:
