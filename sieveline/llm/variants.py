@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.llm.common import Scratch
-from sieveline.session import small
+from sieveline.session import ship_package, small
 
 #: Runs of letters that are words (fixed values).
 LETTERS = "A-Za-zÀ-ÿ"
@@ -42,6 +42,7 @@ def count_words(docs: DataFrame, min_chars: int = 7, min_n: int = 2, typo_every:
     lose the code point h % length before they are counted, which plants misspellings. A null id
     reads as the empty text; a null text has no words. No rows give no rows.
     """
+    ship_package(docs.sparkSession)  # before the step that needs it is made
     find = re.compile(f"[{LETTERS}]{{{min_chars},}}").findall
 
     def run(batches):

@@ -123,6 +123,13 @@ def plain_words(docs, typo_every):
     return {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
 
 
+def test_workers_get_the_package_before_the_first_step(spark, monkeypatch):
+    shipped = []
+    monkeypatch.setattr(variants, "ship_package", shipped.append)
+    variants.count_words(local_frame(spark, [(1, "wording")], "doc_id long, text string"))
+    assert len(shipped) == 1
+
+
 @pytest.mark.parametrize("typo_every", [0, 3, 31])
 def test_words_are_counted_with_planted_slips(spark, typo_every):
     docs = [(1, "Überall überall ÜBERALL Planning planning, PLANNING planning! short words"), (2, "planning planing7planning_planning"), (None, "planning planning"), (3, None), (4, ""), (4, ""), (5, "planningé " * 3000)]
