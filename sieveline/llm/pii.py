@@ -234,13 +234,20 @@ def sure_patterns(occurrences: DataFrame, scratch: Scratch) -> DataFrame:
     edges, path = scratch.write(marked, "pii-graph")
     scratch.drop(counted_path)
     score = edges.withColumn("sure", F.col("seeded") / F.col("n"))
+    flow_path = None
     for _ in range(ROUNDS):
+        # a lookup names its values twice, so a plan that went on through the rounds would double with each
         patterns = score.groupBy("pattern", "hot_pattern").agg(
             (F.sum(F.col("n") * F.col("sure")) / (F.sum("n") + PRIOR)).alias("confidence")
         )
+        patterns, patterns_path = scratch.write(patterns, "pii-confidence")
+        if flow_path:
+            scratch.drop(flow_path)
         flow = _looked_up(edges, patterns, "pattern").groupBy("instance", "hot_instance").agg(
             (F.sum(F.col("n") * F.col("confidence")) / F.sum("n")).alias("reached")
         )
+        flow, flow_path = scratch.write(flow, "pii-reached")
+        scratch.drop(patterns_path)
         score = _looked_up(edges, flow, "instance").withColumn("sure", F.greatest(F.col("seeded") / F.col("n"), "reached"))
     known = (F.col("seeded") > 0) | (F.col("sure") >= CONFIDENCE)
     patterns = (
@@ -253,7 +260,7 @@ def sure_patterns(occurrences: DataFrame, scratch: Scratch) -> DataFrame:
         .where((F.col("confidence") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
     )
     patterns, _ = scratch.write(patterns, "pii-patterns")
-    scratch.drop(path)
+    scratch.drop(path, *[flow_path] if flow_path else [])
     return patterns
 
 

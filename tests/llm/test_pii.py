@@ -139,6 +139,19 @@ def test_addresses_without_a_digit_are_seeds(spark):
     assert all(found[i] == f"email:22:{22 + len(n) + 13}" for i, n in enumerate(names))
 
 
+def test_no_plan_of_the_graph_doubles_with_the_rounds(spark, monkeypatch):
+    joins = []
+
+    class Watched(pii.Scratch):
+        def write(self, df, name):
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+            return super().write(df, name)
+
+    occurrences = local_frame(spark, [(1, "i", ["p", "q"], "email")], "doc_id long, instance string, patterns array<string>, seed string")
+    pii.sure_patterns(occurrences, Watched(spark))
+    assert max(joins) <= 2
+
+
 def test_the_graph_at_hot_keys_equals_a_plain_one(spark, monkeypatch):
     """Every pattern and instance hot, or none: the same patterns; and the rounds restated in Python."""
     rows = []
