@@ -232,6 +232,28 @@ def test_permuted_column_is_a_permutation(spark):
     assert any(n % p for p in importance.step_order(0))
 
 
+def test_permuted_values_travel_packed_and_come_from_the_known_donors(spark, monkeypatch):
+    monkeypatch.setattr(importance, "GIVEN_ROWS", 32)
+    monkeypatch.setattr(importance, "MET_ROWS", 10)
+    rows = [(f"k{i}" if i % 9 else None, None if i % 5 == 0 else f"v{i}") for i in range(143)]
+    df = spark.createDataFrame([r for r in rows if r[0]] + [(None, "alone")], "k string, v string")
+    got = importance.permute_column(df, "v", key="k", repeats=3)
+    # rows are not multiplied before they are shuffled
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    ids = importance.numbered_rows(df, key="k", seed=42)
+    plain = importance.permuted_partners(ids, repeats=3).join(ids.select(F.col("idx").alias("donor"), F.col("v").alias("w")), "donor")
+    want = sorted(map(str, plain.select("k", "repeat", F.col("w").alias("v")).collect()))
+    assert got.columns == ["k", "repeat", "v"] and sorted(map(str, got.collect())) == want
+    assert importance.permute_column(df.limit(0), "v", key="k", repeats=3).collect() == []
+    assert importance.permute_column(df.limit(1), "v", key="k", repeats=3).count() == 3
+
+
+def test_products_beyond_64_bits():
+    n = 7_999_999_999_993
+    a, b = 7_123_456_789_012, [0, 1, n - 1, 5_000_000_000_001]
+    assert importance._times(a, np.array(b), n).tolist() == [a * x % n for x in b]
+
+
 def test_importance_of_constant_and_unused_features_is_zero(spark, rows):
     sets = rows.select(F.lit("all").alias("dataset"), "row_id", "label", "a", F.lit(1.0).alias("flat"), "b")
     spec = {
