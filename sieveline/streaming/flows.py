@@ -14,13 +14,16 @@ from sieveline.operators.validate import split_valid, validate_rows
 
 
 def file_stream(spark: SparkSession, folder: str, schema, *, name: str | None = None, per_trigger: int | None = None):
-    """New Parquet files of a folder as a stream."""
+    """New Parquet files of a folder as a stream; with `name` those of the table of that name in it,
+    which is one file or a folder of files. `name` may be a glob pattern."""
     reader = spark.readStream.schema(schema)
-    if name:
-        reader = reader.option("pathGlobFilter", name)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
-    return reader.parquet(folder)
+    if not name:
+        return reader.parquet(folder)
+    # streams read a single file only where a pattern names it: a set of one letter is one
+    pattern = name if any(c in name for c in "*?[{") else f"{name[:-1]}[{name[-1]}]"
+    return reader.parquet(f"{folder}/{pattern}")
 
 
 def validate_stream(
